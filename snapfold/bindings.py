@@ -31,59 +31,72 @@ SEQ_FIELDS = (
 )
 
 
+# Layout of the given tables; a declared schema spares reading file footers to find it.
+_LAYOUTS = {
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(_LAYOUTS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _product_line() -> Column:
-    # Part type -> product line.
-    lines = {"PROMO": "LM", "SMALL": "MS", "LARGE": "MR", "ECONOMY": "NX", "STANDARD": "NB"}
-    mapping = F.create_map(*[F.lit(v) for pair in lines.items() for v in pair])
-    return F.try_element_at(mapping, F.col("p_type"))
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash the rows over all cores when the input has fewer splits than there are cores.
 
+    A file with a single row group is read by one task however many cores wait. Inputs with
+    at least one split per core, as on a cluster, are left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
-def _stage() -> Column:
-    done = F.col("o_orderstatus") == "F"
-    return (
-        F.when(done & (F.col("l_returnflag") == "R"), "Closed Lost")
-        .when(done & (F.col("l_returnflag") == "A"), "Closed Won")
-        .when(done & (F.col("l_returnflag") == "N"), "Rejected")
-        .otherwise("Negotiation")
-    )
+
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
 # Column -> (expression, dimensions it needs)
 _OPPS = {
-    "owner": (lambda: F.col("s_name"), ("supplier",)),
-    "created": (lambda: F.col("o_orderdate"), ("orders",)),
-    "closed": (lambda: F.col("l_shipdate"), ()),
-    "stage": (_stage, ("orders",)),
-    "opty": (lambda: F.concat(F.lit("OP"), F.lpad(F.col("l_orderkey").cast("string"), 10, "0")), ()),
-    "reseller": (lambda: F.col("n_name"), ("supplier", "nation")),
-    "customer": (
-        lambda: F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("Generic "), "c_name"))
-        .otherwise(F.col("c_name")),
-        ("orders", "customer"),
-    ),
-    "qty": (lambda: F.col("l_quantity"), ()),
-    "sales_price": (lambda: F.col("p_retailprice"), ("part",)),
-    "total_price": (lambda: F.when(F.col("l_tax") != 0, F.col("l_extendedprice")), ()),
-    "model": (lambda: F.col("p_name"), ("part",)),
-    "part_number": (lambda: F.col("l_partkey").cast("string"), ()),
-    "account": (lambda: F.col("c_mktsegment"), ("orders", "customer")),
-    "product_line": (_product_line, ("part",)),
-    "deal_type": (
-        lambda: F.when(F.col("o_orderpriority") == "1-URGENT", schema.RUN_RATE_DEAL).otherwise("Project"),
+    "owner": ("s_name", ("supplier",)),
+    "created": ("o_orderdate", ("orders",)),
+    "closed": ("l_shipdate", ()),
+    "stage": (
+        """CASE WHEN o_orderstatus = 'F' AND l_returnflag = 'R' THEN 'Closed Lost'
+                WHEN o_orderstatus = 'F' AND l_returnflag = 'A' THEN 'Closed Won'
+                WHEN o_orderstatus = 'F' AND l_returnflag = 'N' THEN 'Rejected'
+                ELSE 'Negotiation' END""",
         ("orders",),
     ),
+    "opty": ("concat('OP', lpad(string(l_orderkey), 10, '0'))", ()),
+    "reseller": ("n_name", ("supplier", "nation")),
+    "customer": ("if(c_mktsegment = 'BUILDING', concat('Generic ', c_name), c_name)", ("orders", "customer")),
+    "qty": ("l_quantity", ()),
+    "sales_price": ("p_retailprice", ("part",)),
+    "total_price": ("CASE WHEN l_tax <> 0 THEN l_extendedprice END", ()),
+    "model": ("p_name", ("part",)),
+    "part_number": ("string(l_partkey)", ()),
+    "account": ("c_mktsegment", ("orders", "customer")),
+    "product_line": (
+        """CASE p_type WHEN 'PROMO' THEN 'LM' WHEN 'SMALL' THEN 'MS' WHEN 'LARGE' THEN 'MR'
+                WHEN 'ECONOMY' THEN 'NX' WHEN 'STANDARD' THEN 'NB' END""",
+        ("part",),
+    ),
+    "deal_type": ("if(o_orderpriority = '1-URGENT', 'Run Rate Deal', 'Project')", ("orders",)),
     "win_rate": (
-        lambda: F.when(
-            F.col("o_orderpriority") != "4-NOT SPECIFIED",
-            F.concat(F.round(F.col("l_discount") * 1000).cast("int").cast("string"), F.lit("%")),
-        ),
+        """CASE WHEN o_orderpriority <> '4-NOT SPECIFIED'
+                THEN concat(string(int(round(l_discount * 1000))), '%') END""",
         ("orders",),
     ),
-    "seq": (lambda: F.struct(*SEQ_FIELDS), ()),
+    "seq": (f"struct({', '.join(SEQ_FIELDS)})", ()),
 }
 
 # Dimension -> (its key, the fact or dimension column it belongs to); joined in this order.
@@ -106,11 +119,11 @@ def opps(spark: SparkSession, sf_dir: str, *columns: str, also: tuple[str, ...]
     needed |= {prefixes[c[0]] for c in also if c[0] in prefixes}
     needed |= {"orders"} if "customer" in needed else set()
     needed |= {"supplier"} if "nation" in needed else set()
-    rows = table(spark, sf_dir, "lineitem")
+    rows = lineitem(spark, sf_dir)
     for name, (key, reference) in _DIMENSIONS.items():
         if name in needed:
             rows = rows.join(table(spark, sf_dir, name), F.col(reference) == F.col(key))
-    return rows.select(*[_OPPS[c][0]().alias(c) for c in wanted], *also)
+    return rows.selectExpr(*[f"{_OPPS[c][0]} AS {c}" for c in wanted], *also)
 
 
 def raw_opps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,29 +135,30 @@ def cleaned(spark: SparkSession, sf_dir: str, config=None) -> DataFrame:
     return clean.clean(opps(spark, sf_dir), *([config] if config else []))
 
 
-def note_value(week: int) -> Column:
-    blank = (F.col("l_partkey") + week) % 3 == 0
-    note = F.concat(F.lit("n"), F.col("l_linenumber").cast("string"), F.lit(f"-{week}"))
-    return F.when(~blank, note)
+# Hand-entered columns of the previous tracking table.
+_MANUAL = {
+    "est_qty": """CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN '=Q5*I5'
+        WHEN 2 THEN concat(' ', l_partkey % 50) ELSE concat('EUR ', l_partkey % 7, '.5') END""",
+    "revenue": "CASE (l_linenumber + l_partkey) % 3 WHEN 0 THEN '' WHEN 1 THEN '=Q5*I5' ELSE '100' END",
+    "quarter_invoice": "CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'soon' ELSE 'Q2FY99' END",
+    "forecast": f"""CASE l_suppkey % 8 WHEN 6 THEN '' WHEN 7 THEN 'unknown'
+        ELSE element_at(array({', '.join(f"'{v}'" for v in schema.FORECAST_LABELS)}), int(l_suppkey % 6 + 1)) END""",
+    "next_step": "CASE WHEN l_linenumber <> 3 THEN concat('  step ', l_linenumber, '\\n') END",
+}
+
+
+def _note(week: int) -> str:
+    return f"CASE WHEN (l_partkey + {week}) % 3 <> 0 THEN concat('n', l_linenumber, '-{week}') END"
 
 
 def master(spark: SparkSession, sf_dir: str, weeks: bool = True) -> DataFrame:
     """Previous tracking table: earlier opportunities with hand-entered columns."""
     rows = opps(spark, sf_dir, *OPPS_COLUMNS, also=("l_linenumber", "l_partkey", "l_suppkey"))
-    line, part, supplier = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-    label = F.element_at(F.array(*[F.lit(v) for v in schema.FORECAST_LABELS]), (supplier % 6 + 1).cast("int"))
-    manual = {
-        "est_qty": F.when(line % 4 == 0, "").when(line % 4 == 1, "=Q5*I5")
-        .when(line % 4 == 2, F.concat(F.lit(" "), (part % 50).cast("string")))
-        .otherwise(F.concat(F.lit("EUR "), (part % 7).cast("string"), F.lit(".5"))),
-        "revenue": F.when((line + part) % 3 == 0, "").when((line + part) % 3 == 1, "=Q5*I5").otherwise("100"),
-        "quarter_invoice": F.when(supplier % 3 == 0, "").when(supplier % 3 == 1, "soon").otherwise("Q2FY99"),
-        "forecast": F.when(supplier % 8 == 6, "").when(supplier % 8 == 7, "unknown").otherwise(label),
-        "next_step": F.when(line != 3, F.concat(F.lit("  step "), line.cast("string"), F.lit("\n"))),
-    }
-    notes = {schema.week_column(w): note_value(w) for w in MASTER_WEEKS} if weeks else {}
-    earlier = rows.filter(F.col("created") < x.timestamp(MASTER_BEFORE)).withColumns({**manual, **notes})
-    return clean.with_key(earlier.drop("l_linenumber", "l_partkey", "l_suppkey"))
+    notes = {schema.week_column(w): _note(w) for w in MASTER_WEEKS} if weeks else {}
+    earlier = rows.filter(F.col("created") < x.timestamp(MASTER_BEFORE)).selectExpr(
+        *OPPS_COLUMNS, *[f"{e} AS `{c}`" for c, e in {**_MANUAL, **notes}.items()]
+    )
+    return clean.with_key(earlier)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,54 +235,37 @@ def claim_sources(spark: SparkSession, sf_dir: str) -> list[tuple[ClaimProfile,
 
 
 def os_text() -> Column:
-    kind = F.col("l_partkey") % 7
-    return (
-        F.when(kind == 0, F.concat(F.lit("Windows 11-"), "p_brand"))
-        .when(kind == 1, F.concat(F.lit("-"), "p_brand"))
-        .when(kind == 2, F.concat(F.lit("Chrome OS\n11\n-"), "p_type"))
-        .when(kind == 3, F.concat(F.lit("Win Pro academic\n*"), "p_brand"))
-        .when(kind == 4, F.concat(F.lit("*academic "), "p_brand"))
-        .when(kind == 5, F.concat("p_name", F.lit(" OS\r")))
-    )
+    return F.expr("""CASE l_partkey % 7 WHEN 0 THEN concat('Windows 11-', p_brand) WHEN 1 THEN concat('-', p_brand)
+        WHEN 2 THEN concat('Chrome OS\\n11\\n-', p_type) WHEN 3 THEN concat('Win Pro academic\\n*', p_brand)
+        WHEN 4 THEN concat('*academic ', p_brand) WHEN 5 THEN concat(p_name, ' OS\\r') END""")
 
 
 def enduser_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """End-user export with 20 columns, and ``seq``."""
     rows = opps(spark, sf_dir, *OPPS_COLUMNS, also=(
         "l_orderkey", "l_partkey", "l_returnflag", "c_mktsegment", "p_brand", "p_type", "p_name"))
-    return rows.select(
-        F.col("opty").alias("opportunity_number"),
-        F.concat(F.lit("Q"), F.col("l_orderkey").cast("string")).alias("quote_number"),
-        F.col("c_mktsegment").alias("customer_industry"),
-        os_text().alias("operating_system"),
-        F.col("owner").alias("owner_full_name"),
-        "win_rate", "product_line", "created", "closed", "stage",
-        F.col("customer").alias("customer_account"),
-        F.col("reseller").alias("indirect_account"),
-        F.col("account").alias("account_name"),
-        F.col("model").alias("sales_model"),
-        F.col("qty").alias("quantity"),
-        "part_number",
-        F.col("sales_price").alias("requested_dealer_price"),
-        "total_price",
-        F.when(F.col("l_returnflag") == "R", "returned").alias("close_reason"),
-        F.col("l_returnflag").alias("close_description"),
-        "seq",
+    return rows.withColumn("operating_system", os_text()).selectExpr(
+        "opty AS opportunity_number", "concat('Q', l_orderkey) AS quote_number",
+        "c_mktsegment AS customer_industry", "operating_system", "owner AS owner_full_name",
+        "win_rate", "product_line", "created", "closed", "stage", "customer AS customer_account",
+        "reseller AS indirect_account", "account AS account_name", "model AS sales_model",
+        "qty AS quantity", "part_number", "sales_price AS requested_dealer_price", "total_price",
+        "CASE WHEN l_returnflag = 'R' THEN 'returned' END AS close_reason",
+        "l_returnflag AS close_description", "seq",
     )
 
 
 def followup_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previous follow-up table: earlier opportunities with hand-entered columns."""
     rows = opps(spark, sf_dir, "opty", "part_number", "created", "seq", also=("l_linenumber", "l_suppkey"))
-    line, supplier = F.col("l_linenumber").cast("string"), F.col("l_suppkey")
-    period = F.when(supplier % 3 == 0, "").when(supplier % 3 == 1, "soon").otherwise("about Q2FY99")
-    manual = {
-        c: F.when(supplier % (i + 2) != 0, F.concat(F.lit(f"{c} "), line))
+    manual = [
+        f"CASE WHEN l_suppkey % {i + 2} <> 0 THEN concat('{c} ', l_linenumber) END AS {c}"
         for i, c in enumerate(schema.FOLLOWUP_MANUAL)
-    }
+    ]
+    period = "CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'soon' ELSE 'about Q2FY99' END"
     early = rows.filter(F.col("created") < x.timestamp(MASTER_BEFORE))
-    return early.withColumns({**manual, "created_period": period, "invoice_period": period}).drop(
-        "created", "l_linenumber", "l_suppkey"
+    return early.selectExpr(
+        "opty", "part_number", "seq", *manual, f"{period} AS created_period", f"{period} AS invoice_period"
     )
 
 
@@ -295,7 +292,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("line_no") > F.col("notices")) & (F.col("notices") != 15), F.col("header"))
         .otherwise(F.array(F.lit("Warning"), F.lit("Stage"), F.lit("first 15,000 rows"))).alias("cells"),
     )
-    line = table(spark, sf_dir, "lineitem")
+    line = lineitem(spark, sf_dir)
     body = line.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
         file.alias("file"),
         (F.lit(100) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("line_no"),

@@ -5,7 +5,7 @@ The archive is long: ``(key, opty, model, week, value)`` with one row per key an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapfold import schema
@@ -19,9 +19,6 @@ def _week_name(week: int) -> str:
 
 def to_long(wide: DataFrame, ids, columns: dict[str, int]) -> DataFrame:
     """Wide week columns (name -> week) to rows, blank cells left out."""
-    if not columns:
-        none = {"week": F.lit(None).cast("int"), "value": F.lit(None).cast("string")}
-        return wide.limit(0).select(*ids).withColumns(none)
     cells = F.array(*[
         F.struct(F.lit(w).alias("week"), F.col(f"`{c}`").cast("string").alias("value"))
         for c, w in columns.items()
@@ -57,46 +54,67 @@ def history_migrate(wide: DataFrame, order: str = "seq") -> DataFrame:
     return to_long(first, ["key", "opty", "model"], weeks)
 
 
-def master_notes(master: DataFrame) -> DataFrame:
-    """The filled notes of a tracking table as ``(key, opty, model, seq, week, value)``."""
-    weeks = {c: int(c.removeprefix("Week ")) for c in schema.week_columns(master.columns)
-             if c.removeprefix("Week ").strip().isdigit()}
-    keyed = master.filter(~x.is_blank("key"))
-    return to_long(keyed, ["key", "opty", "model", "seq"], weeks)
+def _note_weeks(master: DataFrame) -> dict[str, int]:
+    names = {c: c.removeprefix("Week ").strip() for c in schema.week_columns(master.columns)}
+    return {c: int(n) for c, n in names.items() if n.isdigit()}
 
 
-def history_upsert(history: DataFrame, notes: DataFrame) -> DataFrame:
-    """Notes overwrite the archive per key and week; what is not noted again stays.
+def fold_notes(history: DataFrame, master: DataFrame, *also) -> DataFrame:
+    """One row per key of either table: names, the merged notes by week, and ``also``.
 
-    The latest note of a key and week wins (by ``seq``), any note wins over the archive.
-    Opportunity and model are filled from the earliest note when the archive has none.
+    The latest filled note of a key and week wins (by ``seq``) and any note wins over the
+    archive; blanks never erase. Opportunity and model keep the archive's names, and are
+    filled from the earliest noted row where it has none. ``also`` are further aggregates
+    over the rows of a key, so that one shuffle of the tracking table serves them all.
     """
-    blank_to_null = {c: F.when(~x.is_blank(c), F.col(c)) for c in ("opty", "model")}
-    seq_type = notes.schema["seq"].dataType
-    rows = (
-        history.withColumn("seq", F.lit(None).cast(seq_type)).withColumn("noted", F.lit(False))
-        .unionByName(notes.withColumn("noted", F.lit(True)))
-        .withColumns(blank_to_null)
+    def filled(c):
+        return ~x.is_blank(f"`{c}`")
+
+    weeks = _note_weeks(master)
+    noted = F.lit(False)
+    for c in weeks:
+        noted = noted | filled(c)
+    seq = F.col("seq")
+    rows = master if also else master.filter(noted)
+    per_key = rows.groupBy("key").agg(
+        *[F.max_by(F.col(f"`{c}`").cast("string"), F.when(filled(c), seq)).alias(f"n{w}") for c, w in weeks.items()],
+        *[F.min_by(c, F.when(filled(c) & noted, seq)).alias(f"new_{c}") for c in ("opty", "model")],
+        *also,
     )
-    rank = F.struct("noted", "seq")
-    per_week = rows.groupBy("key", "week").agg(
-        F.max_by("value", rank).alias("value"),
-        *[
-            F.min_by(F.struct("noted", "seq", F.col(c).alias("name")),
-                     F.when(F.col(c).isNotNull(), rank)).alias(c)
-            for c in ("opty", "model")
-        ],
+    note = "array<struct<week:int,value:string>>"
+    cells = [F.struct(F.lit(w).alias("week"), F.col(f"n{w}").alias("value")) for w in weeks.values()]
+    notes = F.filter(F.array(*cells).cast(note), lambda n: n["value"].isNotNull())
+    fresh = per_key.withColumn("fresh", F.when(~x.is_blank("key"), notes))
+    # A key holds one entry per week at most, so its list stays short.
+    stored = history.groupBy("key").agg(
+        F.collect_list(F.struct("week", "value")).alias("stored"),
+        F.max("opty").alias("old_opty"), F.max("model").alias("old_model"),
     )
-    # At most one row per week is left of a key, so this window is small for every key.
-    of_key = Window.partitionBy("key")
-    return per_week.select(
-        "key",
-        *[F.coalesce(F.min(c).over(of_key)["name"], F.lit("")).alias(c) for c in ("opty", "model")],
-        "week",
-        "value",
+    merged = fresh.join(stored, "key", "full")
+    none = F.array().cast(note)
+    fresh_notes, stored_notes = F.coalesce("fresh", none), F.coalesce("stored", none)
+    fresh_weeks = F.transform(fresh_notes, lambda n: n["week"])
+    kept = F.filter(stored_notes, lambda n: ~F.array_contains(fresh_weeks, n["week"]))
+    name = {c: F.coalesce(F.when(filled(f"old_{c}"), F.col(f"old_{c}")), F.col(f"new_{c}"), F.lit(""))
+            for c in ("opty", "model")}
+    extra = [c for c in per_key.columns
+             if c not in ("key", "new_opty", "new_model", *[f"n{w}" for w in weeks.values()])]
+    return merged.select(
+        "key", *[e.alias(c) for c, e in name.items()],
+        F.concat(kept, fresh_notes).alias("notes"), *extra,
     )
 
 
+def archive_rows(folded: DataFrame) -> DataFrame:
+    """The archive in long form from :func:`fold_notes`."""
+    return folded.select("key", "opty", "model", F.inline("notes"))
+
+
+def history_upsert(history: DataFrame, master: DataFrame) -> DataFrame:
+    """Write the notes of a tracking table into the archive."""
+    return archive_rows(fold_notes(history, master))
+
+
 def window_values(history: DataFrame, weeks: list[int], names: list[str]) -> DataFrame:
     """One row per key: the archive's values of ``weeks`` under the column labels ``names``."""
     picked = history.filter(F.col("week").isin(*weeks))

@@ -10,18 +10,23 @@ from snapfold.functions import scalars as x
 from snapfold.operators.skew import lookup_join
 
 
-def last_first(master: DataFrame, last, first, keys=("key",), order: str = "seq") -> DataFrame:
-    """Per key the ``last`` columns of its last row and the ``first`` columns of its first row.
+def last_and_first(last, first, order: str = "seq") -> list[Column]:
+    """Aggregates: ``last`` columns of the last row and ``first`` columns of the first row.
 
     Whole structs are taken, so a blank cell in the deciding row wins over a filled cell
-    elsewhere. One aggregate with partial results serves every looked-up column.
+    elsewhere.
     """
     picks = []
     if last:
         picks.append(F.max_by(F.struct(*[F.col(f"`{c}`") for c in last]), order).alias("last"))
     if first:
         picks.append(F.min_by(F.struct(*[F.col(f"`{c}`") for c in first]), order).alias("first"))
-    return master.groupBy(*keys).agg(*picks)
+    return picks
+
+
+def last_first(master: DataFrame, last, first, keys=("key",), order: str = "seq") -> DataFrame:
+    """One row per key; the aggregate has partial results and serves all looked-up columns."""
+    return master.groupBy(*keys).agg(*last_and_first(last, first, order))
 
 
 def carry_forward_last(pipe: DataFrame, master: DataFrame, columns) -> DataFrame:
@@ -48,7 +53,7 @@ def carried_qty(found: DataFrame) -> Column:
     return (
         F.when(F.col("last").isNull(), F.lit(None).cast("double"))
         .when((entry == "") | x.is_formula(entry), fallback)
-        .otherwise(x.manual_number(entry))
+        .otherwise(x.sanitize_numeric(entry))
     )
 
 
@@ -90,15 +95,14 @@ def carry_forward_manual(pipe: DataFrame, found: DataFrame, extra=()) -> DataFra
     The revenue of the tracking table is always quantity times price; the carried figure is
     kept beside it.
     """
-    joined = lookup_join(pipe, found, ["key"], ["seq"])
-    qty = carried_qty(found)
+    joined = lookup_join(pipe, found, ["key"], ["seq"]).withColumn("est_qty", carried_qty(found))
     return joined.select(
         *[F.col(f"`{c}`") for c in pipe.columns],
-        qty.alias("est_qty"),
+        "est_qty",
         carried_revenue(found).alias("revenue_carried"),
-        (qty * F.col("sales_price")).alias("revenue"),
+        (F.col("est_qty") * F.col("sales_price")).alias("revenue"),
         x.quarter_invoice("closed", "last.quarter_invoice").alias("quarter_invoice"),
         x.forecast_category("stage", "last.forecast", "win_rate").alias("forecast"),
         x.clean_text("last.next_step").alias("next_step"),
-        *[x.clean_text(F.col(f"`{c}`")).alias(c) for c in extra],
+        *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in extra],
     )

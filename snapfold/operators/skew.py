@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 _SALT = "__salt"
 _TRACKED = 8192
 _REPORTED = 512
+_BUCKETS_PER_PARTITION = 4
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -40,12 +41,12 @@ def lookup_join(
 ) -> DataFrame:
     """Left outer join to a ``right`` that has one row per key.
 
-    Rows of hot keys are spread over as many buckets as there are shuffle partitions, and
-    only the matching ``right`` rows are repeated, once per bucket. ``spread_by`` must tell
+    Rows of hot keys are spread over several buckets per shuffle partition, and only the
+    matching ``right`` rows are repeated, once per bucket. ``spread_by`` must tell
     the rows of one key apart; the bucket is a hash of it, so a task that runs again after
     a lost executor puts every row where it was before.
     """
-    fanout = _shuffle_partitions(left)
+    fanout = _BUCKETS_PER_PARTITION * _shuffle_partitions(left)
     hot_set: Column = (hot if hot is not None else hot_hashes(left, on)).scalar()
     is_hot = F.array_contains(hot_set, F.xxhash64(*on))
     bucket = F.pmod(F.xxhash64(*spread_by), F.lit(fanout)).cast("int")

@@ -59,42 +59,48 @@ def empty_state(spark: SparkSession, snapshot: DataFrame) -> State:
     )
 
 
-def _looked_up(master: DataFrame, archive: DataFrame, weeks: list[int], shift: int) -> tuple[DataFrame, list[str]]:
-    """One row per key with all manual columns and the notes of the new window.
+def fold_state(state: State) -> DataFrame:
+    """Everything known per key: deciding rows of the tracking table and the merged notes."""
+    master = clean.with_key(state.main)
+    last = (*lookup.LAST_COLUMNS, *schema.week_columns(master.columns))
+    return history.fold_notes(state.history, master, *lookup.last_and_first(last, lookup.FIRST_COLUMNS))
+
+
+def _found(folded: DataFrame, old: list[str], weeks: list[int], shift: int) -> tuple[DataFrame, list[str]]:
+    """The rows to look keys up in, with the notes of the new window as columns.
 
     The notes come from the archive when the window has moved, else from the same position
-    of the last row. Joining the archive here, after the table has been reduced to one row
-    per key, spares a join of every tracking row.
+    of the last row; rows without a key always keep their own.
+    """
+    moved = shift != 0 and len(old) >= len(weeks)
+    by_week = F.map_from_entries("notes")
+    columns = {}
+    for i, w in enumerate(weeks):
+        own = x.clean_text(F.col("last")[old[i]]) if i < len(old) else F.lit("")
+        archived = x.clean_text(F.try_element_at(by_week, F.lit(w)))
+        columns[schema.week_column(w)] = F.when(x.is_blank("key"), own).otherwise(archived) if moved else own
+    known = folded.filter(F.col("last").isNotNull())
+    return known.select("key", "last", "first", *[e.alias(c) for c, e in columns.items()]), list(columns)
+
+
+def track(snapshot: DataFrame, state: State, as_of: datetime, config: Config = Config(),
+          folded: DataFrame | None = None) -> Tracking:
+    """Clean the snapshot and carry hand-entered columns and notes forward.
+
+    ``folded`` is the result of :func:`fold_state` when the caller has written it already.
     """
-    old = schema.week_columns(master.columns)[: len(weeks)]
-    new = [schema.week_column(w) for w in weeks]
-    found = lookup.last_first(master, (*lookup.LAST_COLUMNS, *old), lookup.FIRST_COLUMNS)
-    kept = [x.clean_text(F.col("last")[old[i]]) if i < len(old) else F.lit("") for i in range(len(weeks))]
-    if shift == 0 or len(old) < len(weeks):
-        return found.withColumns(dict(zip(new, kept))), new
-    moved = [f"__w{i}" for i in range(len(weeks))]
-    joined = found.join(history.window_values(archive, weeks, moved), "key", "left")
-    notes = {
-        n: F.when(x.is_blank("key"), k).otherwise(F.coalesce(F.col(m), F.lit("")))
-        for n, k, m in zip(new, kept, moved)
-    }
-    return joined.withColumns(notes).drop(*moved), new
-
-
-def track(snapshot: DataFrame, state: State, as_of: datetime, config: Config = Config()) -> Tracking:
-    """Clean the snapshot and carry hand-entered columns and notes forward."""
     rows = clean.clean(snapshot, config)
+    folded = fold_state(state) if folded is None else folded
     weeks = week_window(as_of, config.current_week, config.iso_week_window)
-    master = clean.with_key(state.main)
-    shift = detect_week_shift(schema.week_columns(master.columns), current_week(as_of, config.current_week))
-    archive = history.history_upsert(state.history, history.master_notes(master))
-    found, notes = _looked_up(master, archive, weeks, shift)
+    old = schema.week_columns(state.main.columns)
+    shift = detect_week_shift(old, current_week(as_of, config.current_week))
+    found, notes = _found(folded, old, weeks, shift)
     columns = (*schema.SOURCE_COLUMNS, "seq", "key")
     return Tracking(
         main=lookup.carry_forward_manual(clean.open_only(rows).select(*columns), found, notes),
         run_rate=clean.run_rate_subset(rows),
         closed_lost=clean.closed_lost_subset(rows),
-        history=archive,
+        history=history.archive_rows(folded),
     )
 
 
@@ -126,19 +132,19 @@ def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time
                config: Config = Config()) -> str:
     """Fold one snapshot into the store and return the version written.
 
-    The tracking table and the archive are written first and read back, so every later
-    table starts from files in the shared folder rather than from the joins again. Running
-    the same snapshot twice starts from the same earlier state and writes the same version.
+    What is known per key is written first and serves both the tracking table and the
+    archive; the tracking table is written next and serves every later table. So each step
+    starts from files in the shared folder rather than from the joins again. Running the
+    same snapshot twice starts from the same earlier state and writes the same version.
     """
     version = snapshot_time.strftime("%Y%m%dT%H%M%S%f")
     state = load_state(store, snapshot, before=version)
-    tracking = track(snapshot, state, as_of, config)
-    archive = store.write("archive", tracking.history, version)
-    tracking.history = archive
+    folded = store.write("folded", fold_state(state), version)
+    tracking = track(snapshot, state, as_of, config, folded)
     main = store.write("main", tracking.main, version)
     store.write("run_rate", tracking.run_rate, version)
     store.write("closed_lost", tracking.closed_lost, version)
-    summary = summarise(main, archive, state, as_of, snapshot_time, config)
+    summary = summarise(main, tracking.history, state, as_of, snapshot_time, config)
     store.write("history", summary.history, version)
     store.write("owner_counts", summary.owner_counts, version, sort_by=("owner", "week"))
     store.write("details", summary.details, version, sort_by=("owner", "year", "week"))

@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 

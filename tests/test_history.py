@@ -1,0 +1,97 @@
+from datetime import datetime
+
+from conftest import rows
+from snapfold import schema
+from snapfold.operators import history
+from snapfold.functions import weeks as w
+
+
+def archive(spark, *records):
+    """(key, week, value) rows; the key is also the opportunity."""
+    return spark.createDataFrame([(k, k, "", wk, v) for k, wk, v in records], schema.HISTORY_SCHEMA)
+
+
+def master(spark, records, weeks):
+    names = ", ".join(f"`Week {i}` string" for i in weeks)
+    return spark.createDataFrame(records, f"key string, opty string, model string, seq int, {names}")
+
+
+WORDS = ("tata", "titi", "toto", "tutu", "tete")
+
+
+def test_shift_from_history(spark):
+    m = master(spark, [("TEST1", "TEST1", "", 1, *WORDS)], range(37, 42))
+    a = history.history_upsert(archive(spark), m)
+    new = w.week_window(datetime(2025, 10, 8))
+    assert new == [39, 40, 41, 42, 43]
+    shifted = history.apply_week_shift(m, a, new, 2).first()
+    assert [shifted[f"Week {i}"] for i in range(37, 42)] == ["toto", "tutu", "tete", "", ""]
+    pipe = spark.createDataFrame([("TEST1", 1), ("NEW", 2)], "key string, seq int")
+    got = history.week_columns_for_pipe(pipe, history.apply_week_shift(m, a, new, 2), new)
+    assert rows(got) == [("NEW", 2, "", "", "", "", ""), ("TEST1", 1, "toto", "tutu", "tete", "", "")]
+
+
+def test_backward_shift(spark):
+    m = master(spark, [("K", "K", "", 1, "alpha", "beta", "gamma", "delta", "epsilon")], range(42, 47))
+    a = history.history_upsert(archive(spark), m)
+    back = history.apply_week_shift(m, a, [39, 40, 41, 42, 43], -3).first()
+    assert list(back)[4:] == ["", "", "", "alpha", "beta"]
+
+
+def test_no_shift_and_unknown_keys(spark):
+    m = master(spark, [("K", "K", "", 1, *WORDS), ("", "", "", 2, *WORDS), ("U", "U", "", 3, *WORDS)], range(37, 42))
+    new = [39, 40, 41, 42, 43]
+    assert rows(history.apply_week_shift(m, archive(spark), new, 2)) == rows(m)
+    assert rows(history.apply_week_shift(m, archive(spark, ("K", 39, "x")), new, 0)) == rows(m)
+    got = {r["key"]: list(r)[4:] for r in history.apply_week_shift(m, archive(spark, ("K", 39, " x ")), new, 2).collect()}
+    assert got == {"K": ["x", "", "", "", ""], "": list(WORDS), "U": [""] * 5}
+
+
+def test_upsert(spark):
+    stored = archive(spark, ("K", 25, "a"), ("K", 1, "old"), ("GONE", 3, "kept"))
+    m = master(spark, [("K", "K", "", 1, "", "b1"), ("K", "K", "", 2, None, "b2"), ("K", "K", "", 3, "  ", ""),
+                       ("OPT123ModelABC", "OPT123", "ModelABC", 4, "v25", "v26"), ("", "", "", 5, "lost", "lost")], (25, 26))
+    expected = sorted([
+        ("K", "K", "", 25, "a"), ("K", "K", "", 1, "old"), ("K", "K", "", 26, "b2"), ("GONE", "GONE", "", 3, "kept"),
+        ("OPT123ModelABC", "OPT123", "ModelABC", 25, "v25"), ("OPT123ModelABC", "OPT123", "ModelABC", 26, "v26"),
+    ], key=repr)
+    for parts in (1, 6):
+        once = history.history_upsert(stored, m.repartition(parts))
+        assert rows(once) == expected
+        assert rows(history.history_upsert(once, m)) == expected
+
+
+def test_names_are_filled_only_where_blank(spark):
+    stored = spark.createDataFrame([("OM", "", "", 1, "x"), ("AB", "A", "B", 1, "x")], schema.HISTORY_SCHEMA)
+    m = master(spark, [("OM", "O", "M", 1, "n"), ("AB", "AB", "", 2, "n")], (2,))
+    assert {r[:3] for r in rows(history.history_upsert(stored, m))} == {("OM", "O", "M"), ("AB", "A", "B")}
+
+
+def test_upsert_of_a_table_without_notes(spark):
+    m = spark.createDataFrame([("K", "K", "", 1)], "key string, opty string, model string, seq int")
+    stored = archive(spark, ("K", 25, "a"))
+    assert rows(history.history_upsert(stored, m)) == rows(stored)
+
+
+def test_migrate_both_layouts(spark):
+    new = spark.createDataFrame([("O", "M", "a", "", 1), ("O", "M", "", "late", 2), (None, "N", None, "b", 3)],
+                                "opty string, model string, W01 string, W02 string, seq int")
+    assert rows(history.history_migrate(new)) == [("N", "", "N", 2, "b"), ("OM", "O", "M", 1, "a")]
+    old = spark.createDataFrame([("OM", "a", " ", 1)], "key string, W01 string, W02 string, seq int")
+    assert rows(history.history_migrate(old)) == [("OM", "", "", 1, "a")]
+    neither = spark.createDataFrame([("a", 1)], "W01 string, seq int")
+    assert rows(history.history_migrate(neither)) == []
+
+
+def test_wide_and_back(spark):
+    a = archive(spark, ("K", 1, "x"), ("K", 53, "y"), ("L", 7, "z"))
+    wide = history.to_wide(a).withColumn("seq", history.F.lit(1))
+    assert wide.columns[3:56] == [f"W{i:02d}" for i in range(1, 54)]
+    assert rows(history.history_migrate(wide)) == rows(a)
+
+
+def test_semi(spark):
+    a = archive(spark, ("K", 1, "x"), ("L", 7, "z"))
+    pipe = spark.createDataFrame([("K",), ("K",)], "key string")
+    assert [r[0] for r in rows(history.history_semi(a, pipe))] == ["K"]
+    assert rows(history.history_semi(a, pipe.limit(0))) == rows(a)

@@ -1,0 +1,72 @@
+from datetime import datetime
+
+import pytest
+
+from conftest import rows
+from snapfold.operators import pivots
+from snapfold.operators.pivots import FilterGroup
+from snapfold.plans import reports
+
+
+def facts(spark, *values):
+    return spark.createDataFrame([(v, f"o{i % 2}", 10.0) for i, v in enumerate(values)],
+                                 "`Quarter\nInvoice` string, owner string, total_price double")
+
+
+def test_states(spark):
+    df = facts(spark, "a", "b", "c", "a", None)
+    group = FilterGroup("QUARTER", allowed=("a", "b"), selected=("a",))
+    assert dict(rows(pivots.pivot_filter_states(df, group))) == {
+        "a": "SHOW+check", "b": "SHOW-uncheck", "c": "hide", "": "hide"}
+    only_allowed = FilterGroup("quarter", allowed=("a", "b"))
+    assert dict(rows(pivots.pivot_filter_states(df, only_allowed)))["b"] == "SHOW+check"
+    only_selected = FilterGroup("quarter", selected=("a",))
+    assert dict(rows(pivots.pivot_filter_states(df, only_selected)))["c"] == "SHOW-uncheck"
+    assert pivots.pivot_filter_apply(df, group).count() == 2
+    with pytest.raises(ValueError):
+        pivots.pivot_filter_states(df, FilterGroup("other", allowed=("a",)))
+
+
+def test_validation(spark):
+    settings = {1: FilterGroup("quarter", ("a",), ("a", "z")), 2: FilterGroup("quarter"),
+                3: FilterGroup("quarter", ("a",)), 5: FilterGroup("quarter", ("b",))}
+    got = rows(pivots.pivot_filter_validate(facts(spark, "a", "b"), settings))
+    assert got == [(1, "quarter", "skipped: selection not allowed", "z", 0, 2),
+                   (2, "quarter", "skipped: nothing set", "", 0, 2), (3, "quarter", "applied", "", 1, 2)]
+    with pytest.raises(ValueError):
+        pivots.filter_groups({2: FilterGroup("quarter")})
+    job = reports.pivot_filter_job(facts(spark, "a", "b", "a"), settings)
+    assert rows(job) == [("o0", 20.0, 3)]
+
+
+def test_invalid_selection(spark):
+    group = FilterGroup("quarter", allowed=("a", "y"), selected=("a", "y", "z"))
+    assert rows(pivots.pivot_invalid_selection(facts(spark, "a", "b"), group)) == [
+        ("y", "not in data"), ("z", "not allowed"), ("z", "not in data")]
+
+
+def test_stale_members(spark):
+    dim = spark.createDataFrame([(1,), (2,)], "k int")
+    assert rows(pivots.stale_members(dim, spark.createDataFrame([(1,), (1,)], "k int"), "k")) == [(2,)]
+
+
+def test_profile(spark):
+    df = spark.createDataFrame([("x", "1", "2025-01-02", 1.0, datetime(2025, 1, 1)), ("2", "-.5e3", "", None, None)],
+                               "mix string, num string, day string, d double, t timestamp_ntz")
+    got = {r[0]: tuple(r[1:]) for r in rows(pivots.column_type_profile(df))}
+    assert got["mix"] == (False, True, True, False, True, True)
+    assert got["num"] == (False, False, True, False, False, False)
+    assert got["day"] == (True, False, False, True, False, False)
+    assert got["d"] == (True, False, True, False, False, False)
+    assert got["t"] == (True, False, False, True, False, False)
+    empty = {r[0]: tuple(r[1:]) for r in rows(pivots.column_type_profile(df.limit(0), ["mix"]))}
+    assert empty["mix"] == (False,) * 6
+
+
+def test_amounts_keep_every_row(spark):
+    df = spark.createDataFrame([("o", "Q1FY25", 1.0), ("o", "odd", 2.0), ("o", None, 4.0), ("p", "Q2FY25", None)],
+                               "owner string, quarter_invoice string, total_price double")
+    got = pivots.sales_by_quarter(df, ["Q1FY25", "Q2FY25"])
+    assert got.columns == ["owner", "Q1FY25", "Q2FY25", "other"]
+    assert rows(got) == [("o", 1.0, 0.0, 6.0), ("p", 0.0, 0.0, 0.0)]
+    assert pivots.quarter_labels(2009, 2010)[3:5] == ["Q4FY09", "Q1FY10"]
