@@ -26,7 +26,7 @@ def stream_exports(spark: SparkSession, path: str, store: Store, checkpoint: str
     def fold(batch: DataFrame, _batch_id: int) -> None:
         moment = batch.agg(F.max("snapshot_time").alias("t")).first()["t"]
         if moment is not None:
-            rows = exports.export_from_lines(batch, config, separator).drop("snapshot_time")
+            rows = exports.export_from_lines(exports.numbered(batch), config, separator).drop("snapshot_time")
             run_update(store, rows, moment, moment, config)
 
     return (
