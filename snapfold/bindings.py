@@ -208,7 +208,7 @@ CLAIM_PROFILES = {
 
 def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Returned line items as claims; every seventh order lacks the leading letter."""
-    rows = opps(spark, sf_dir, "closed", "qty", "sales_price", "part_number",
+    rows = opps(spark, sf_dir, "closed", "qty", "sales_price", "part_number", "seq",
                 also=("l_orderkey", "l_returnflag", "n_regionkey"))
     order = F.col("l_orderkey")
     prefix = F.when(order % 7 == 0, "").otherwise("Q")
@@ -218,6 +218,7 @@ def raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("qty").alias("claim_qty"),
         F.col("sales_price").alias("claim_val"),
         F.col("part_number").alias("claim_pn"),
+        "seq",
         "n_regionkey",
     )
 
@@ -226,7 +227,7 @@ def claim_sources(spark: SparkSession, sf_dir: str) -> list[tuple[ClaimProfile,
     """The claims of each distributor under that distributor's own column names."""
     rows = raw_claims(spark, sf_dir)
     return [
-        (profile, rows.filter(F.col("n_regionkey").isin(*regions)).drop("n_regionkey").toDF(*profile.columns))
+        (profile, rows.filter(F.col("n_regionkey").isin(*regions)).drop("n_regionkey").toDF(*profile.columns, "seq"))
         for profile, regions in CLAIM_PROFILES.values()
     ]
 

@@ -104,9 +104,10 @@ def forecast_category(stage, old, win_rate) -> Column:
     """Won stage, else a valid previous label, else the bucket of the win rate."""
     labels = F.array(*[F.lit(x) for x in FORECAST_LABELS])
     old = clean_text(old)
-    percent = F.regexp_replace(_col(win_rate), "%", "")
+    percent = F.replace(_col(win_rate), F.lit("%"), F.lit(""))
     rate = percent.try_cast("double")
-    usable = rate.isNotNull() & ~F.isnan(rate) & (F.abs(rate) < F.lit(float("inf")))
+    # Not true for null, NaN (which sorts above infinity) and the infinities themselves.
+    usable = F.abs(rate) < F.lit(float("inf"))
     # Clamped before the cast: a huge rate must not overflow, a negative one means the first label.
     bucket = F.least(
         F.greatest((rate - 1) / F.lit(100 / len(FORECAST_LABELS)), F.lit(0.0)),

@@ -79,9 +79,13 @@ def pivot_filter_states(df: DataFrame, group: FilterGroup) -> DataFrame:
     return items.withColumn("state", state)
 
 
+def is_visible(df: DataFrame, group: FilterGroup) -> Column:
+    return _item(resolve_field(df, group.field)).isin(*group.visible)
+
+
 def pivot_filter_apply(df: DataFrame, group: FilterGroup) -> DataFrame:
     """Rows whose value is visible."""
-    return df.filter(_item(resolve_field(df, group.field)).isin(*group.visible))
+    return df.filter(is_visible(df, group))
 
 
 def pivot_filter_validate(df: DataFrame, settings: dict[int, FilterGroup]) -> DataFrame:
@@ -91,7 +95,7 @@ def pivot_filter_validate(df: DataFrame, settings: dict[int, FilterGroup]) -> Da
     """
     groups = filter_groups(settings)
     counts = df.agg(*[
-        F.count(F.when(_item(resolve_field(df, g.field)).isin(*g.visible), 1)).alias(f"n{i}")
+        F.count(F.when(is_visible(df, g), 1)).alias(f"n{i}")
         if g.status == "applied" else F.lit(0).cast("long").alias(f"n{i}")
         for i, g in groups
     ], F.count("*").alias("n_all"))

@@ -132,15 +132,16 @@ def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time
                config: Config = Config()) -> str:
     """Fold one snapshot into the store and return the version written.
 
-    What is known per key is written first and serves both the tracking table and the
-    archive; the tracking table is written next and serves every later table. So each step
-    starts from files in the shared folder rather than from the joins again. Running the
+    The cleaned snapshot is written first, so raw text is parsed once. What is known per key
+    follows and serves both the tracking table and the archive; the tracking table in turn
+    serves every later table. So each step starts from files in the shared folder. Running the
     same snapshot twice starts from the same earlier state and writes the same version.
     """
     version = snapshot_time.strftime("%Y%m%dT%H%M%S%f")
     state = load_state(store, snapshot, before=version)
     folded = store.write("folded", fold_state(state), version)
-    tracking = track(snapshot, state, as_of, config, folded)
+    rows = store.write("cleaned", clean.clean(snapshot, config), version)
+    tracking = track(rows, state, as_of, config, folded)
     main = store.write("main", tracking.main, version)
     store.write("run_rate", tracking.run_rate, version)
     store.write("closed_lost", tracking.closed_lost, version)

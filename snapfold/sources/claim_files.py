@@ -37,7 +37,10 @@ def read_claim_files(spark: SparkSession, folder: str, template: str, year: int,
         else cell(c)
         for i, c in enumerate(profile.columns)
     }
-    return rows.select(*[typed[i].alias(c) for i, c in enumerate(profile.columns)])
+    return rows.select(
+        *[typed[i].alias(c) for i, c in enumerate(profile.columns)],
+        F.struct("snapshot_time", "file", "block", "id").alias("seq"),
+    )
 
 
 def load_claims(spark: SparkSession, folder: str, year: int, profiles: list[ClaimProfile], date_formats,
