@@ -99,14 +99,12 @@ _OPPS = {
     "seq": (f"struct({', '.join(SEQ_FIELDS)})", ()),
 }
 
-# Dimension -> (its key, the fact or dimension column it belongs to); joined in this order.
-_DIMENSIONS = {
-    "orders": ("o_orderkey", "l_orderkey"),
-    "customer": ("c_custkey", "o_custkey"),
-    "supplier": ("s_suppkey", "l_suppkey"),
-    "nation": ("n_nationkey", "s_nationkey"),
-    "part": ("p_partkey", "l_partkey"),
-}
+# Arms of the star: the dimension that meets the line items, and one that extends it.
+_ARMS = (
+    ("orders", "l_orderkey = o_orderkey", "customer", "o_custkey = c_custkey"),
+    ("supplier", "l_suppkey = s_suppkey", "nation", "s_nationkey = n_nationkey"),
+    ("part", "l_partkey = p_partkey", None, None),
+)
 
 OPPS_COLUMNS = (*schema.SOURCE_COLUMNS, "seq")
 
@@ -120,9 +118,13 @@ def opps(spark: SparkSession, sf_dir: str, *columns: str, also: tuple[str, ...]
     needed |= {"orders"} if "customer" in needed else set()
     needed |= {"supplier"} if "nation" in needed else set()
     rows = lineitem(spark, sf_dir)
-    for name, (key, reference) in _DIMENSIONS.items():
+    for name, link, outer, outer_link in _ARMS:
         if name in needed:
-            rows = rows.join(table(spark, sf_dir, name), F.col(reference) == F.col(key))
+            arm = table(spark, sf_dir, name)
+            if outer in needed:
+                # The arm is completed first: the line items are not shuffled by nation or customer.
+                arm = arm.join(table(spark, sf_dir, outer), F.expr(outer_link))
+            rows = rows.join(arm, F.expr(link))
     return rows.selectExpr(*[f"{_OPPS[c][0]} AS {c}" for c in wanted], *also)
 
 

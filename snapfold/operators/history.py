@@ -28,9 +28,12 @@ def to_long(wide: DataFrame, ids, columns: dict[str, int]) -> DataFrame:
 
 
 def to_wide(history: DataFrame, ids=("key", "opty", "model"), weeks=schema.WEEKS, fill="") -> DataFrame:
-    """Rows to columns ``W01`` to ``W53``; the value list is fixed, so no extra job finds it."""
-    wide = history.groupBy(*ids).pivot("week", list(weeks)).agg(F.first("value"))
-    return wide.select(*ids, *[F.coalesce(F.col(f"`{w}`"), F.lit(fill)).alias(_week_name(w)) for w in weeks])
+    """Rows to columns ``W01`` to ``W53``: one short map per key instead of 53 aggregates."""
+    by_week = F.map_from_entries(F.collect_list(F.struct("week", "value")))
+    maps = history.groupBy(*ids).agg(by_week.alias("by_week"))
+    return maps.select(*ids, *[
+        F.coalesce(F.try_element_at("by_week", F.lit(w)), F.lit(fill)).alias(_week_name(w)) for w in weeks
+    ])
 
 
 def history_migrate(wide: DataFrame, order: str = "seq") -> DataFrame:

@@ -88,14 +88,14 @@ def carry_forward_revenue(pipe: DataFrame, master: DataFrame) -> DataFrame:
     return joined.withColumn("revenue_carried", carried_revenue(found)).drop("last", "first")
 
 
-def carry_forward_manual(pipe: DataFrame, found: DataFrame, extra=()) -> DataFrame:
+def carry_forward_manual(pipe: DataFrame, found: DataFrame, extra=(), hot: DataFrame | None = None) -> DataFrame:
     """All manual columns in one join; ``found`` comes from :func:`last_first`.
 
     ``extra`` names further columns of ``found`` that travel along, such as note weeks.
     The revenue of the tracking table is always quantity times price; the carried figure is
-    kept beside it.
+    kept beside it. ``hot`` may name the hot keys when the caller finds them more cheaply.
     """
-    joined = lookup_join(pipe, found, ["key"], ["seq"]).withColumn("est_qty", carried_qty(found))
+    joined = lookup_join(pipe, found, ["key"], ["seq"], hot).withColumn("est_qty", carried_qty(found))
     return joined.select(
         *[F.col(f"`{c}`") for c in pipe.columns],
         "est_qty",

@@ -84,10 +84,11 @@ def _found(folded: DataFrame, old: list[str], weeks: list[int], shift: int) -> t
 
 
 def track(snapshot: DataFrame, state: State, as_of: datetime, config: Config = Config(),
-          folded: DataFrame | None = None) -> Tracking:
+          folded: DataFrame | None = None, hot: DataFrame | None = None) -> Tracking:
     """Clean the snapshot and carry hand-entered columns and notes forward.
 
-    ``folded`` is the result of :func:`fold_state` when the caller has written it already.
+    ``folded`` is the result of :func:`fold_state` when the caller has written it already,
+    ``hot`` the hot keys of the snapshot when it has found them already.
     """
     rows = clean.clean(snapshot, config)
     folded = fold_state(state) if folded is None else folded
@@ -97,7 +98,7 @@ def track(snapshot: DataFrame, state: State, as_of: datetime, config: Config = C
     found, notes = _found(folded, old, weeks, shift)
     columns = (*schema.SOURCE_COLUMNS, "seq", "key")
     return Tracking(
-        main=lookup.carry_forward_manual(clean.open_only(rows).select(*columns), found, notes),
+        main=lookup.carry_forward_manual(clean.open_only(rows).select(*columns), found, notes, hot),
         run_rate=clean.run_rate_subset(rows),
         closed_lost=clean.closed_lost_subset(rows),
         history=history.archive_rows(folded),
