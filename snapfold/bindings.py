@@ -153,12 +153,16 @@ def _note(week: int) -> str:
     return f"CASE WHEN (l_partkey + {week}) % 3 <> 0 THEN concat('n', l_linenumber, '-{week}') END"
 
 
-def master(spark: SparkSession, sf_dir: str, weeks: bool = True) -> DataFrame:
-    """Previous tracking table: earlier opportunities with hand-entered columns."""
-    rows = opps(spark, sf_dir, *OPPS_COLUMNS, also=("l_linenumber", "l_partkey", "l_suppkey"))
+def master(spark: SparkSession, sf_dir: str, *columns: str, weeks: bool = True) -> DataFrame:
+    """Previous tracking table: earlier opportunities with hand-entered columns.
+
+    ``columns`` restricts the source columns beside opportunity, model, date and order.
+    """
+    wanted = tuple(dict.fromkeys(("opty", "model", "created", "seq", *columns))) if columns else OPPS_COLUMNS
+    rows = opps(spark, sf_dir, *wanted, also=("l_linenumber", "l_partkey", "l_suppkey"))
     notes = {schema.week_column(w): _note(w) for w in MASTER_WEEKS} if weeks else {}
     earlier = rows.filter(F.col("created") < x.timestamp(MASTER_BEFORE)).selectExpr(
-        *OPPS_COLUMNS, *[f"{e} AS `{c}`" for c, e in {**_MANUAL, **notes}.items()]
+        *wanted, *[f"{e} AS `{c}`" for c, e in {**_MANUAL, **notes}.items()]
     )
     return clean.with_key(earlier)
 

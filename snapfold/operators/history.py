@@ -5,7 +5,7 @@ The archive is long: ``(key, opty, model, week, value)`` with one row per key an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapfold import schema
@@ -62,6 +62,19 @@ def _note_weeks(master: DataFrame) -> dict[str, int]:
     return {c: int(n) for c, n in names.items() if n.isdigit()}
 
 
+def is_noted(master: DataFrame) -> Column:
+    """Rows with at least one filled note."""
+    noted = F.lit(False)
+    for c in _note_weeks(master):
+        noted = noted | ~x.is_blank(f"`{c}`")
+    return noted
+
+
+def any_rows(df: DataFrame) -> Column:
+    """Whether a table has rows, as a scalar inside the plan."""
+    return df.select(F.lit(1)).limit(1).agg(F.count("*")).scalar() > 0
+
+
 def fold_notes(history: DataFrame, master: DataFrame, *also) -> DataFrame:
     """One row per key of either table: names, the merged notes by week, and ``also``.
 
@@ -74,9 +87,7 @@ def fold_notes(history: DataFrame, master: DataFrame, *also) -> DataFrame:
         return ~x.is_blank(f"`{c}`")
 
     weeks = _note_weeks(master)
-    noted = F.lit(False)
-    for c in weeks:
-        noted = noted | filled(c)
+    noted = is_noted(master)
     seq = F.col("seq")
     rows = master if also else master.filter(noted)
     per_key = rows.groupBy("key").agg(
@@ -126,11 +137,13 @@ def window_values(history: DataFrame, weeks: list[int], names: list[str]) -> Dat
     ])
 
 
-def apply_week_shift(master: DataFrame, history: DataFrame, weeks: list[int], shift: int) -> DataFrame:
+def apply_week_shift(master: DataFrame, history: DataFrame, weeks: list[int], shift: int,
+                     known: Column | None = None) -> DataFrame:
     """Refill the note columns by position from the archive when the window has moved.
 
     Keys the archive does not know lose their notes, rows without a key keep theirs. An
-    empty archive or fewer than five note columns leave the table as it is.
+    empty archive or fewer than five note columns leave the table as it is. ``known`` tells
+    whether the archive has rows, where asking it would mean computing it twice.
     """
     names = schema.week_columns(master.columns)
     if shift == 0 or not weeks or len(names) < len(weeks):
@@ -138,7 +151,7 @@ def apply_week_shift(master: DataFrame, history: DataFrame, weeks: list[int], sh
     names = names[: len(weeks)]
     new = [f"__new{i}" for i in range(len(weeks))]
     values = window_values(history, weeks, new).withColumn("__hit", F.lit(True))
-    known = history.select(F.lit(1)).limit(1).agg(F.count("*")).scalar() > 0
+    known = any_rows(history) if known is None else known
     joined = lookup_join(master, values, ["key"], ["seq"])
     refill = known & ~x.is_blank("key")
     return joined.withColumns({
@@ -163,7 +176,7 @@ def week_columns_for_pipe(pipe: DataFrame, master: DataFrame, weeks: list[int])
 def history_semi(history: DataFrame, pipe: DataFrame) -> DataFrame:
     """Archive rows whose key is still in the pipe; an empty pipe removes nothing."""
     keys = pipe.select("key").distinct().withColumn("__kept", F.lit(True))
-    empty = pipe.select(F.lit(1)).limit(1).agg(F.count("*")).scalar() == 0
+    empty = ~any_rows(pipe)
     joined = history.join(keys, "key", "left")
     return joined.filter(F.col("__kept").isNotNull() | empty).drop("__kept")
 

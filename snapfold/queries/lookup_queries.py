@@ -15,7 +15,7 @@ def _pipe(spark, sf_dir, *columns):
   coalesce({strip_sql('l.forecast')}, '') AS forecast
   FROM opps o LEFT JOIN master_last l ON o.opty || o.model = l.key""")
 def carry_forward_last(spark, sf_dir):
-    found = lookup.carry_forward_last(_pipe(spark, sf_dir), b.master(spark, sf_dir), ["next_step", "forecast"])
+    found = lookup.carry_forward_last(_pipe(spark, sf_dir), b.master(spark, sf_dir, "model"), ["next_step", "forecast"])
     return found.select("opty", "part_number", "next_step", "forecast")
 
 
@@ -24,7 +24,7 @@ def carry_forward_last(spark, sf_dir):
   ELSE {number_sql('l.est_qty')} END AS est_qty
   FROM opps o LEFT JOIN master_last l ON o.opty || o.model = l.key LEFT JOIN master_first f ON o.opty || o.model = f.key""")
 def carry_forward_qty(spark, sf_dir):
-    found = lookup.carry_forward_qty(_pipe(spark, sf_dir), b.master(spark, sf_dir))
+    found = lookup.carry_forward_qty(_pipe(spark, sf_dir), b.master(spark, sf_dir, "qty"))
     return found.select("opty", "part_number", "est_qty")
 
 
@@ -34,7 +34,7 @@ def carry_forward_qty(spark, sf_dir):
   END AS revenue_carried
   FROM opps o LEFT JOIN master_last l ON o.opty || o.model = l.key LEFT JOIN master_first f ON o.opty || o.model = f.key""")
 def carry_forward_revenue(spark, sf_dir):
-    found = lookup.carry_forward_revenue(_pipe(spark, sf_dir), b.master(spark, sf_dir))
+    found = lookup.carry_forward_revenue(_pipe(spark, sf_dir), b.master(spark, sf_dir, "total_price", "sales_price"))
     return found.select("opty", "part_number", "revenue_carried")
 
 

@@ -33,7 +33,7 @@ def _totals(spark, sf_dir):
 def tracking_totals(spark, sf_dir):
     columns = ("owner", "opty", "model", "customer", "total_price", "sales_price", "product_line", "stage", "seq")
     rows = clean.open_only(clean.clean(b.opps(spark, sf_dir, *columns)))
-    return trend.tracking_totals(lookup.carry_forward_qty(rows, b.master(spark, sf_dir)))
+    return trend.tracking_totals(lookup.carry_forward_qty(rows, b.master(spark, sf_dir, "qty")))
 
 
 def _upsert_sql(key, date, wk):
