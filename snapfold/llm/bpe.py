@@ -70,7 +70,7 @@ class TokenAutomaton:
     def _gadget(self, i: int, u: int, v: int, uv: int) -> None:
         if uv in self.rank:
             raise ValueError(f"merge {i} makes a token that an earlier merge has made")
-        open_arc = self._arc(u, v)  # else u and v never stand side by side by now
+        open_arc = not {u, v} & self.dead and self._arc(u, v)  # else u and v never stand side by side by now
         self.left[uv], self.right[uv], self.rank[uv] = u, v, i
         if open_arc:
             self.gone.setdefault(u, {})[v] = i

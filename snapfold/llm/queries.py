@@ -7,10 +7,22 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapfold.llm import bpe, decontaminate, quality_rules, secrets, simhash, weak_labels
+from snapfold.llm import (
+    bpe,
+    decontaminate,
+    language,
+    licenses,
+    quality_rules,
+    secrets,
+    simhash,
+    token_counts,
+    toxicity,
+    weak_labels,
+)
 from snapfold.llm.rows import table
 
 TOKENIZERS = os.environ.get("SNAPFOLD_TOKENIZERS", "/opt/tokenizers")
+UNIGRAM_FILE = f"{TOKENIZERS}/piece_bpe_32k.model"
 BPE_FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
 
 
@@ -18,6 +30,10 @@ def _sha(strings: Column) -> Column:
     return F.sha2(F.array_join(strings, ","), 256)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.with_language(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.with_passages(docs.select("doc_id", "text"), benchmark, "found")
@@ -51,6 +67,11 @@ def digest_tokens(coded: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.with_counts(docs, UNIGRAM_FILE, "counted").select("doc_id", "counted.*")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = docs.withColumn("found", secrets.secret_spans(secrets.train(docs))("text")).select("doc_id", "found")
@@ -65,6 +86,30 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _remainder() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.with_toxicity(docs, labels, _remainder() != 2).select(
+        "doc_id",
+        (_remainder() == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.TOXIC_FROM).cast("int").alias("predicted"),
+        "neighbours",
+    )
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.with_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), "found")
+    return found.select(
+        "doc_id",
+        F.array_join("found.sentences.id", ",").alias("sentences"),
+        F.array_join("found.licences", ",").alias("licences"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.with_rules(docs, "rules").select("doc_id", F.col("rules").dropFields("failed").alias("rules")).select(
@@ -78,10 +123,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_bpe": op4_bpe,
+    "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
+    "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }

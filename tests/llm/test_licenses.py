@@ -1,0 +1,50 @@
+import re
+
+from snapfold.llm import licenses
+
+
+def brute_force(text):
+    known = licenses.known_sentences()
+    ids = []
+    for s in re.split(licenses.SENTENCE_END, text or ""):
+        plain = re.sub(r"^[ .]+|[ .]+$", "", re.sub(r"[^a-z0-9.]+", " ", s.lower()))
+        if plain in known:
+            ids.append(known[plain])
+    seq = ";" + ";".join(ids) + ";"
+    hits = [r for r in licenses.rule_sequences() if r[1] in seq]
+    outer = [r for r in hits if not any(len(o[1]) > len(r[1]) and r[1] in o[1] for o in hits)]
+    return ids, sorted({r[0] for r in outer})
+
+
+def found(df):
+    return [([s.id for s in r.found.sentences], list(r.found.licences)) for r in df.collect()]
+
+
+def test_notices_and_awkward_rows(spark, docs_of):
+    apache = " ".join(licenses.SENTENCES[k] for k in ("apache-header", "apache-copy", "apache-as-is", "apache-see"))
+    mit = licenses.SENTENCES["mit-grant"] + "\n" + licenses.SENTENCES["mit-as-is"]
+    texts = [
+        None, "", "No licence here.", apache, mit, f"{mit} {apache}", "RELEASED under the  MIT   license!", "x. Licensed under CC BY-NC 4.0.\ny",
+        licenses.SENTENCES["mit-grant"], "Licensed under CC BY 4.0 or not.", "filler text. " * 20_000 + apache, apache, apache,
+        apache.replace("You may obtain", "Nobody may obtain"),
+    ]
+    docs = docs_of([*enumerate(texts), (None, apache), (3, apache)], extra=("licences", "sentences"))
+    out = licenses.with_licences(docs, "found")
+    assert found(out) == [brute_force(r.text) for r in docs.collect()]
+    assert found(out)[3][1] == ["Apache-2.0"] and found(out)[5][1] == ["Apache-2.0", "MIT"] and found(out)[7][1] == ["CC-BY-NC-4.0"]
+    assert found(licenses.with_licences(docs_of([]), "found")) == []
+
+
+def test_documents_against_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    assert found(licenses.with_licences(docs, "found")) == [brute_force(r.text) for r in docs.collect()]
+
+
+def test_every_known_sentence_has_a_cue_in_its_notice():
+    for text in licenses.SENTENCES.values():
+        assert any(c in text.lower() for c in licenses.CUES)
+
+
+def test_main_path_is_native(spark, data):
+    plan = licenses.with_licences(spark.read.parquet(f"{data}/documents.parquet"), "found")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
