@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from snapfold.llm.rows import free_name, text_function
 
 #: Entries that half of a task's memory of words holds.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Fixed value: the split of byte-level BPE before its merges.
 WORD_PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -251,8 +251,7 @@ def encoded(docs: DataFrame, tokenizer_file: str, text: str = "text", ids: str =
         def run(texts):
             parts = [codec.packed(t.decode()) if t else b"" for t in texts]
             lists = _lists(parts)
-            flat, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
-            back = [codec.decode(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            back = [codec.decode(np.frombuffer(p, dtype=np.int32).tolist()) for p in parts]
             return pa.StructArray.from_arrays([lists, pa.array(back, pa.string())], ["ids", "decoded"])
 
         return run

@@ -12,6 +12,8 @@ from snapfold.session import work_folder
 
 #: Rows of a key that one task takes without being spread.
 ROWS_PER_TASK = 100_000
+#: Texts of an Arrow batch that are Python objects at a time.
+SLICE_ROWS = 256
 #: Keys that are spread over several tasks, at most.
 MAX_HOT_KEYS = 1_000
 
@@ -20,14 +22,16 @@ def text_function(make: Callable[[], Callable[[list], pa.Array]], returns: str)
     """Column function over whole texts, fed to Python in Arrow batches.
 
     ``make`` runs once per task and gives a function from a list of UTF-8 bytes (None for null) to an Arrow
-    array of the same length. The column counts as non-deterministic, so that a filter on it does not run it twice.
+    array of the same length; it gets ``SLICE_ROWS`` texts at a time, so that only these exist as Python objects. The
+    column counts as non-deterministic, so that a filter on it does not run it twice.
     """
 
     @F.arrow_udf(returns)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         convert = make()
         for batch in batches:
-            yield convert(batch.cast(pa.large_binary()).to_pylist())
+            parts = [batch.slice(k, SLICE_ROWS) for k in range(0, max(len(batch), 1), SLICE_ROWS)]
+            yield pa.concat_arrays([convert(part.cast(pa.large_binary()).to_pylist()) for part in parts])
 
     function = run.asNondeterministic()
     return lambda text: function(F.col(text).cast("string"))

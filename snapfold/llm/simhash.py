@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from snapfold.llm.rows import free_name, spread_lookup, text_function, written
 
 SEED = 42
-#: Fingerprints of a tile, at least and at most; between them a 256th of all.
-TILE_ROWS = (1 << 14, 1 << 20)
+#: Fingerprints of a tile, at least and at most; between them a 64th of all.
+TILE_ROWS = (1 << 15, 1 << 21)
 #: Fingerprints of a block inside a pair of tiles.
 BLOCK = 512
 #: Links held back before they are folded into the forest.
@@ -144,7 +144,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     seen = keyed.groupBy(*_QUARTERS).count().collect()
     keys = np.array([r[:4] for r in seen], dtype=np.int64).reshape(-1, 4)
     counts = np.array([r[4] for r in seen], dtype=np.int64)
-    rows = min(max(TILE_ROWS[0], int(counts.sum()) // 256), TILE_ROWS[1])
+    rows = min(max(TILE_ROWS[0], int(counts.sum()) // 64), TILE_ROWS[1])
     first, parts, boxes = plan_tiles(keys, counts, rows)
     lo, hi = (np.array([b[k] for b in boxes]).reshape(-1, 4) for k in (0, 1))
     members, pair = [], 0
@@ -162,12 +162,15 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     )
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        found = tile_forest(group["fp"].to_numpy().view(np.uint64), group["side"].to_numpy(), radius)
+        prints = [np.asarray(p, dtype=np.int64) for p in group["prints"]]
+        sides = np.repeat(group["side"].to_numpy(), [len(p) for p in prints])
+        found = tile_forest(np.concatenate(prints).view(np.uint64), sides, radius)
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return tiled.join(F.broadcast(member), "tile").select("pair", "side", "fp").groupBy("pair").applyInPandas(
-        compare, "a long, b long"
-    )
+    # a tile travels as one row, at most TILE_ROWS[1] longs, to each of its pairs
+    packed = tiled.groupBy("tile").agg(F.collect_list("fp").alias("prints"))
+    paired = packed.join(F.broadcast(member), "tile").select("pair", "side", "prints")
+    return paired.groupBy("pair").applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ EM_ROUNDS = 100
 #: A heuristic that finds a defect is wrong about this share of the good texts at most.
 FALSE_ALARMS = 0.002
 #: Words a task remembers the weight of.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Texts with a lower score are rejected.
 KEEP_FROM = 0.3
 
@@ -233,7 +233,8 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 6
 def _features(text: bytes | None) -> tuple[list[int], list[float]]:
     words = (text or b"").split()
     counts = Counter(b for w, n in Counter(words).items() for b in buckets_of(w) * n)
-    counts[_AGAIN] += _stutters(words)
+    if words:
+        counts[_AGAIN] += _stutters(words)
     return list(counts), [c / len(words) for c in counts.values()]
 
 
