@@ -50,18 +50,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_LAYOUTS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash the rows over all cores when the input has fewer splits than there are cores.
-
-    A file with a single row group is read by one task however many cores wait. Inputs with
-    at least one split per core, as on a cluster, are left alone and not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    return table(spark, sf_dir, "lineitem")
 
 
 # Column -> (expression, dimensions it needs)
@@ -203,12 +193,9 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- claims
 
 CLAIM_PROFILES = {
-    "NORTH": (ClaimProfile("NORTH", ("Invoice date", "Approval number", "Qty.", "Claim per pcs",
-                                     "Vendor Product Number")), (0, 1)),
-    "SOUTH": (ClaimProfile("SOUTH", ("Invoice Date", "GSN", "Claim Qty", "New Cost",
-                                     "Vendor Part No")), (2, 3)),
-    "EAST": (ClaimProfile("EAST", ("Invoice date", "Promotion desc.", "Invoice qty", "Project price",
-                                   "Part number")), (4,)),
+    "LAKE": (ClaimProfile("LAKE", ("day", "deal", "pieces", "rebate", "item")), (0, 1)),
+    "HILL": (ClaimProfile("HILL", ("Shipped on", "Offer", "Units", "Credit each", "Article code")), (2, 3)),
+    "PORT": (ClaimProfile("PORT", ("booked_at", "reference", "n", "unit_credit", "sku")), (4,)),
 }
 
 
@@ -283,7 +270,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exports as lines of cells: each supplier is a file.
 
     A file starts with ``suppkey % 16`` lines of notices, then a header in one of two
-    languages (none where there would be 15 notices), its opportunities, and a footer.
+    languages (none where there would be 15 notices), its opportunities, and a footer (none in every third file).
     """
     file = F.concat(F.lit("export-"), F.col("s_suppkey").cast("string"))
     notices = (F.col("s_suppkey") % 16).cast("int")
@@ -299,6 +286,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("line_no") > F.col("notices")) & (F.col("notices") != 15), F.col("header"))
         .otherwise(F.array(F.lit("Warning"), F.lit("Stage"), F.lit("first 15,000 rows"))).alias("cells"),
     )
+    footer = suppliers.filter(F.col("s_suppkey") % 3 != 0).select(
+        file.alias("file"), F.lit(1 << 60).alias("line_no"),
+        F.array(F.lit(f" {schema.FOOTER_OWNERS[0]} "), F.lit("")).alias("cells"))
     line = lineitem(spark, sf_dir)
     body = line.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(
         file.alias("file"),
@@ -306,4 +296,19 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array("s_name", F.col("l_orderkey").cast("string"), F.col("l_quantity").cast("string"),
                 "l_returnflag").alias("cells"),
     )
-    return top.unionByName(body)
+    return top.unionByName(body).unionByName(footer)
+
+
+def text_exports(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """:func:`raw_lines` written as text, one file per supplier, with 60 columns and a line break in every note."""
+    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    wide = F.array(*(F.lit(f"Extra {k}") for k in range(55)))
+    is_header = F.array_contains(F.transform("cells", lambda c: x.strip(c)), F.lit(schema.HEADER_LABELS["English"][1])) | (
+        F.array_contains("cells", F.lit(schema.HEADER_LABELS["French"][1])))
+    note = F.concat(F.lit('a "note",\n'), F.col("line_no").cast("string"))
+    rows = raw_lines(spark, sf_dir).withColumn("cells", F.when(is_header, F.concat("cells", wide, F.array(F.lit("Note")))).when(
+        F.col("line_no").between(100, (1 << 60) - 1), F.concat("cells", wide, F.array(note))).otherwise(F.col("cells")))
+    text = rows.select("file", "line_no", F.array_join(F.transform("cells", quote), ",").alias("value"))
+    placed = text.repartition("file").sortWithinPartitions("file", "line_no")
+    placed.drop("line_no").write.partitionBy("file").text(folder)
+    return folder

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from snapfold.schema import FORECAST_LABELS, QUARTER_PATTERN, STAGE_CLOSED_WON
 
 BLANKS = " \t\n\r\x0b\x0c"
+#: ISO layouts, tried before the configured ones, and layouts with a 12-hour clock, tried after them.
+ISO_FORMATS = (
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+)
+HALF_DAY_FORMATS = ("M/d/yyyy h:mm a", "M/d/yyyy h:mm:ss a")
 
 
 def _col(c) -> Column:
@@ -45,9 +51,11 @@ def to_number(c) -> Column:
 
 
 def sanitize_numeric(c, default: float | None = 0.0) -> Column:
-    """Number out of formatted text: drop all but digits, point and minus, then parse."""
+    """Number out of formatted text: drop all but digits, point and minus, then parse. Numbers stay as they are."""
+    number = F.typeof(_col(c)).rlike("^(tinyint|smallint|int|bigint|float|double|decimal)")
     kept = F.regexp_replace(_col(c).cast("string"), r"[^0-9.\-]", "")
-    return F.coalesce(kept.try_cast("double"), F.lit(default).cast("double"))
+    value = F.when(number, not_nan(_col(c).try_cast("double"))).otherwise(kept.try_cast("double"))
+    return F.coalesce(value, F.lit(default).cast("double"))
 
 
 def number_or(c, default: float = 0.0) -> Column:
@@ -66,8 +74,16 @@ def manual_number(c) -> Column:
 
 
 def money(c) -> Column:
-    """Fixed point, so that sums do not depend on how rows are spread over tasks."""
-    return not_nan(_col(c).cast("double")).cast("decimal(24,4)")
+    """Fixed point, so that sums do not depend on how rows are spread over tasks.
+
+    An amount that is infinite or does not fit is null here; :func:`money_misfits` counts them.
+    """
+    return not_nan(_col(c).cast("double")).try_cast("decimal(24,4)")
+
+
+def money_misfits(c) -> Column:
+    """Number of amounts that :func:`money` cannot hold."""
+    return F.count_if(not_nan(_col(c).cast("double")).isNotNull() & money(c).isNull())
 
 
 def money_sum(c) -> Column:
@@ -77,8 +93,8 @@ def money_sum(c) -> Column:
 
 def parse_dates(c, formats) -> Column:
     """Text in mixed layouts -> timestamp; ISO first, then the given formats; else null."""
-    text = strip(_col(c))
-    tries = [F.try_to_timestamp(text)] + [F.try_to_timestamp(text, F.lit(f)) for f in formats]
+    text = strip(_col(c).cast("string"))
+    tries = [F.try_to_timestamp(text, F.lit(f)) for f in (*ISO_FORMATS, *formats, *HALF_DAY_FORMATS)]
     return F.coalesce(*[t.cast("timestamp_ntz") for t in tries])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -40,7 +41,7 @@ def drop_unnamed(df: DataFrame) -> DataFrame:
     """Drop columns without a header."""
     return df.select(*[
         F.col(f"`{c}`") for c in df.columns
-        if c and c.strip() and not c.startswith(("Unnamed:", "_c"))
+        if c and c.strip() and not c.startswith("Unnamed:") and not re.fullmatch(r"_c\d+", c)
     ])
 
 

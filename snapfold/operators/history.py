@@ -150,14 +150,14 @@ def apply_week_shift(master: DataFrame, history: DataFrame, weeks: list[int], sh
         return master
     names = names[: len(weeks)]
     new = [f"__new{i}" for i in range(len(weeks))]
-    values = window_values(history, weeks, new).withColumn("__hit", F.lit(True))
+    values = window_values(history, weeks, new)
     known = any_rows(history) if known is None else known
     joined = lookup_join(master, values, ["key"], ["seq"])
     refill = known & ~x.is_blank("key")
     return joined.withColumns({
         old: F.when(refill, F.coalesce(F.col(n), F.lit(""))).otherwise(F.col(f"`{old}`"))
         for old, n in zip(names, new)
-    }).drop(*new, "__hit")
+    }).drop(*new)
 
 
 def week_columns_for_pipe(pipe: DataFrame, master: DataFrame, weeks: list[int]) -> DataFrame:

@@ -33,13 +33,25 @@ def tracked_rows(df: DataFrame, as_of: datetime, config: Config = Config()) -> D
 def owner_week_counts(df: DataFrame, as_of: datetime, config: Config = Config(),
                       approximate: bool = False) -> DataFrame:
     """Distinct opportunities per owner and ISO week of creation, current calendar year."""
-    rows = tracked_rows(df, as_of, config).select(
+    rows = _owner_weeks(df, as_of, config)
+    return rows.groupBy("owner", "week").agg(F.approx_count_distinct("opty").alias("n")) if approximate else count_optys(rows)
+
+
+def _owner_weeks(df: DataFrame, as_of: datetime, config: Config) -> DataFrame:
+    return tracked_rows(df, as_of, config).select(
         x.strip("owner").alias("owner"),
         x.iso_week("created").alias("week"),
         x.strip("opty").alias("opty"),
     )
-    count = F.approx_count_distinct("opty") if approximate else F.count_distinct("opty")
-    return rows.groupBy("owner", "week").agg(count.alias("n"))
+
+
+def owner_week_optys(df: DataFrame, as_of: datetime, config: Config = Config()) -> DataFrame:
+    """The (owner, week, opportunity) that count, each once."""
+    return _owner_weeks(df, as_of, config).distinct()
+
+
+def count_optys(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("owner", "week").agg(F.count_distinct("opty").alias("n"))
 
 
 def owner_week_rollup_stats(df: DataFrame, as_of: datetime, config: Config = Config()) -> DataFrame:
@@ -150,7 +162,9 @@ def yoy_week_pivot(details: DataFrame, as_of: datetime) -> DataFrame:
 def owner_week_rows(df: DataFrame, as_of: datetime, owner: str | None = None,
                     week: int | None = None) -> DataFrame:
     """Rows of the current calendar year, of one owner and ISO week when given."""
-    kept = df.filter(F.year("created") == as_of.year).withColumn("week", x.iso_week("created"))
+    first, last = datetime(as_of.year, 1, 1), datetime(as_of.year + 1, 1, 1)
+    this_year = (F.col("created") >= x.timestamp(first)) & (F.col("created") < x.timestamp(last))  # reaches the scan
+    kept = df.filter(this_year).withColumn("week", x.iso_week("created"))
     if owner is not None:
         kept = kept.filter(F.col("owner") == owner)
     if week is not None:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SALT = "__salt"
-_TRACKED = 8192
-_REPORTED = 512
-_BUCKETS_PER_PARTITION = 4
+#: Counters of the sketch for each key that may be hot, the shares of a partition that make a key hot, and the buckets
+#: each of its shares is spread over.
+_TRACKED_PER_KEY = 16
+_HOT_SHARES = 4.0
+_BUCKETS_PER_SHARE = 4
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -16,20 +18,24 @@ def _shuffle_partitions(df: DataFrame) -> int:
 
 
 def hot_hashes(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row with the hashes of the keys that hold far more than a partition's share.
+    """One row with a map: hash of a key that holds far more than a partition's share -> buckets to spread it over.
 
-    A frequent-items sketch finds them in one pass with partial aggregation; its size does
-    not depend on the data. It decides only how rows are spread, never what they are.
+    A frequent-items sketch finds them in one pass with partial aggregation; its size follows the number of partitions,
+    so a key is hot at the same multiple of a partition's share whatever that number is. It decides only how rows are
+    spread, never what they are.
     """
-    share = min(0.1, max(4.0 / _shuffle_partitions(df), 1.0 / _REPORTED))
+    partitions = _shuffle_partitions(df)
+    reported = max(16, -(-partitions // int(_HOT_SHARES)))  # no more keys than that can hold the share
+    tracked = min(max(1024, _TRACKED_PER_KEY * reported), 1_000_000)
     sketch = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.expr(f"approx_top_k(h, {_REPORTED}, {_TRACKED})").alias("top"),
+        F.expr(f"approx_top_k(h, {reported}, {tracked})").alias("top"),
         F.count("*").alias("n"),
     )
-    hot = F.transform(
-        F.filter("top", lambda t: t["count"] > F.col("n") * F.lit(share)), lambda t: t["item"]
-    )
-    return sketch.select(hot.alias("hot"))
+    fair = F.col("n") / F.lit(partitions)
+    limit = F.least(F.lit(_HOT_SHARES) * fair, F.col("n") * F.lit(0.1))
+    hot = F.filter("top", lambda t: t["count"] > limit)
+    buckets = lambda t: F.ceil(t["count"] * _BUCKETS_PER_SHARE / fair).cast("int")
+    return sketch.select(F.map_from_entries(F.transform(hot, lambda t: F.struct(t["item"], buckets(t)))).alias("hot"))
 
 
 def lookup_join(
@@ -41,16 +47,16 @@ def lookup_join(
 ) -> DataFrame:
     """Left outer join to a ``right`` that has one row per key.
 
-    Rows of hot keys are spread over several buckets per shuffle partition, and only the
-    matching ``right`` rows are repeated, once per bucket. ``spread_by`` must tell
-    the rows of one key apart; the bucket is a hash of it, so a task that runs again after
-    a lost executor puts every row where it was before.
+    Skewed partitions of ``left`` are split by Spark at run time, which takes no second look at the data. A caller that
+    has counted its keys may give them as ``hot``: rows of hot keys are then spread over buckets in proportion to their
+    number, and only the matching ``right`` rows are repeated, once per bucket. ``spread_by`` must tell the rows of one
+    key apart; the bucket is a hash of it, so a task that runs again after a lost executor puts every row where it was
+    before.
     """
-    fanout = _BUCKETS_PER_PARTITION * _shuffle_partitions(left)
-    hot_set: Column = (hot if hot is not None else hot_hashes(left, on)).scalar()
-    is_hot = F.array_contains(hot_set, F.xxhash64(*on))
-    bucket = F.pmod(F.xxhash64(*spread_by), F.lit(fanout)).cast("int")
-    buckets = F.when(is_hot, F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
-    spread_left = left.withColumn(_SALT, F.when(is_hot, bucket).otherwise(F.lit(0)))
-    spread_right = right.withColumn(_SALT, F.explode(buckets))
+    if hot is None:
+        return left.join(right, on, "left")
+    buckets: Column = F.coalesce(F.try_element_at(hot.scalar(), F.xxhash64(*on)), F.lit(1))
+    bucket = F.pmod(F.xxhash64(*spread_by), buckets).cast("int")
+    spread_left = left.withColumn(_SALT, bucket)
+    spread_right = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), buckets - 1)))
     return spread_left.join(spread_right, [*on, _SALT], "left").drop(_SALT)

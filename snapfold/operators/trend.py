@@ -66,7 +66,7 @@ def rolling_view(log: DataFrame, config: Config = Config()) -> DataFrame:
 
 def _digits(amount: Column) -> Column:
     """Whole part as text. Doubles would print large amounts with an exponent."""
-    return F.floor(x.money(amount)).cast("decimal(20,0)").cast("string")
+    return F.floor(x.money(amount)).try_cast("decimal(24,0)").cast("string")
 
 
 def common_prefix_offset(low: Column, high: Column) -> Column:

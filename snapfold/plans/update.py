@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -122,24 +123,32 @@ def summarise(main: DataFrame, archive: DataFrame, state: State, as_of: datetime
     )
 
 
-def load_state(store: Store, snapshot: DataFrame, before: str | None = None) -> State:
-    version = store.latest(before)
+def version_name(snapshot_time: datetime, source: str = "") -> str:
+    digest = hashlib.sha256(source.encode()).hexdigest()[:12]
+    return snapshot_time.strftime("%Y%m%dT%H%M%S%f") + (f"-{digest}" if source else "")
+
+
+def load_state(store: Store, snapshot: DataFrame, version: str | None) -> State:
     if version is None:
         return empty_state(store.spark, snapshot)
     return State(*[store.read(name, version) for name in ("main", "history", "owner_counts", "log")])
 
 
 def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time: datetime,
-               config: Config = Config()) -> str:
+               config: Config = Config(), source: str = "") -> str:
     """Fold one snapshot into the store and return the version written.
 
     The cleaned snapshot is written first, so raw text is parsed once. What is known per key
     follows and serves both the tracking table and the archive; the tracking table in turn
     serves every later table. So each step starts from files in the shared folder. Running the
     same snapshot twice starts from the same earlier state and writes the same version.
+
+    ``source`` (the file) tells snapshots of the same time apart. A snapshot older than the last one folded in is folded
+    onto the latest state all the same: counters take the larger value and the log its own row, so nothing is lost.
     """
-    version = snapshot_time.strftime("%Y%m%dT%H%M%S%f")
-    state = load_state(store, snapshot, before=version)
+    version = version_name(snapshot_time, source)
+    previous = store.latest(before=version)
+    state = load_state(store, snapshot, previous)
     folded = store.write("folded", fold_state(state), version)
     rows = store.write("cleaned", clean.clean(snapshot, config), version)
     tracking = track(rows, state, as_of, config, folded)
@@ -154,5 +163,5 @@ def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time
     window = trend.rolling_view(log, config)
     offsets = store.write("offsets", trend.trend_normalise(window, config.max_normalised_gap), version)
     store.write("trend", trend.trend_view(window, offsets), version)
-    store.commit(version)
+    store.commit(version, previous)
     return version

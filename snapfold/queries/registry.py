@@ -143,8 +143,8 @@ TABLES: dict[str, str] = {
     "raw_claims": """
     SELECT closed AS claim_date, CASE WHEN l_orderkey % 7 = 0 THEN '' ELSE 'Q' END || l_orderkey AS quote,
       qty AS claim_qty, sales_price AS claim_val, part_number AS claim_pn,
-      CASE WHEN n_regionkey IN (0, 1) THEN 'NORTH' WHEN n_regionkey IN (2, 3) THEN 'SOUTH'
-           WHEN n_regionkey = 4 THEN 'EAST' END AS distri
+      CASE WHEN n_regionkey IN (0, 1) THEN 'LAKE' WHEN n_regionkey IN (2, 3) THEN 'HILL'
+           WHEN n_regionkey = 4 THEN 'PORT' END AS distri
     FROM opps WHERE l_returnflag = 'R'""",
     "claims": """
     SELECT *, claim_qty * claim_val AS total, monthname(claim_date) AS month FROM raw_claims

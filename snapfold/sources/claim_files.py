@@ -22,9 +22,8 @@ def month_glob(template: str, year: int) -> str:
 def read_claim_files(spark: SparkSession, folder: str, template: str, year: int, profile: ClaimProfile,
                      date_formats, separator: str = ",") -> DataFrame:
     """Typed claims of one distributor under its own column names; absent months are skipped."""
-    lines = exports.read_lines(spark, folder, month_glob(template, year))
-    headers = exports.file_headers(lines, separator=separator, header_at=profile.skip)
-    rows = exports.rows_below_header(lines, headers, separator)
+    files = exports.read_files(spark, folder, month_glob(template, year))
+    rows = exports.rows_below_header(files, separator=separator, header_at=profile.skip)
 
     def cell(name):
         place = F.array_position("header", F.lit(name)).cast("int")
@@ -39,7 +38,7 @@ def read_claim_files(spark: SparkSession, folder: str, template: str, year: int,
     }
     return rows.select(
         *[typed[i].alias(c) for i, c in enumerate(profile.columns)],
-        F.struct("snapshot_time", "file", "block", "id").alias("seq"),
+        F.struct("snapshot_time", "file", "line_no").alias("seq"),
     )
 
 

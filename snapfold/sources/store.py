@@ -21,19 +21,31 @@ class Store:
         return f"{self.root}/{name}/version={version}"
 
     def versions(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], "version string")
+        """Committed runs in order of ``n``: the version and the one it started from."""
+        layout = "n long, version string, previous string"
         try:
-            return self.spark.read.schema("version string").parquet(f"{self.root}/runs")
-        except AnalysisException:
-            return empty
+            return self.spark.read.schema(layout).parquet(f"{self.root}/runs")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], layout)
 
     def latest(self, before: str | None = None) -> str | None:
+        """The version committed last; with ``before``, the one that a run of that version starts from."""
         runs = self.versions()
-        runs = runs.filter(F.col("version") < before) if before is not None else runs
-        return runs.agg(F.max("version").alias("v")).first()["v"]
-
-    def commit(self, version: str) -> None:
-        self.spark.createDataFrame([(version,)], "version string").write.mode("append").parquet(f"{self.root}/runs")
+        if before is not None:
+            own = runs.filter(F.col("version") == before).agg(F.max_by("previous", "n"), F.count("*")).first()
+            if own[1]:
+                return own[0]
+        return runs.agg(F.max_by("version", "n").alias("v")).first()["v"]
+
+    def commit(self, version: str, previous: str | None = None) -> None:
+        """Make a version visible. Committing it again changes neither its place nor where it started from."""
+        runs = self.versions().agg(F.max("n"), F.count_if(F.col("version") == version)).first()
+        if not runs[1]:
+            row = [((runs[0] or 0) + 1, version, previous)]
+            layout = "n long, version string, previous string"
+            self.spark.createDataFrame(row, layout).coalesce(1).write.mode("append").parquet(f"{self.root}/runs")
 
     def write(self, name: str, df: DataFrame, version: str, sort_by=()) -> DataFrame:
         """Write one table of a version and return it as read back, with a short lineage."""

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from snapfold import schema
 from snapfold.config import Config
 from snapfold.functions import scalars as x
 from snapfold.operators import owners
@@ -17,21 +16,21 @@ from snapfold.sources.store import Store
 
 def stream_owner_counts(snapshots: DataFrame, store: Store, checkpoint: str, as_of: datetime,
                         config: Config = Config()) -> StreamingQuery:
-    """Merge the counters of each micro-batch, a complete snapshot, into the stored ones.
+    """Distinct opportunities per owner and week over all micro-batches, of which one snapshot may take several.
 
-    The larger count wins, so a batch that runs again changes nothing.
+    The state is the set of (owner, week, opportunity) seen, so it does not matter how rows fall into batches. A batch
+    that runs again starts from the same version and changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         version = f"{batch_id:012d}"
         previous = store.latest(before=version)
-        stored = (
-            store.read("owner_counts", previous) if previous
-            else batch.sparkSession.createDataFrame([], schema.OWNER_WEEK_SCHEMA)
-        )
-        merged = owners.owner_max_merge(stored, owners.owner_week_counts(batch, as_of, config))
-        store.write("owner_counts", merged, version)
-        store.commit(version)
+        seen = owners.owner_week_optys(batch, as_of, config)
+        if previous:
+            seen = seen.unionByName(store.read("owner_optys", previous)).distinct()
+        seen = store.write("owner_optys", seen, version)
+        store.write("owner_counts", owners.count_optys(seen), version)
+        store.commit(version, previous)
 
     return (
         snapshots.writeStream.foreachBatch(merge)
@@ -51,7 +50,7 @@ def stream_late_counts(rows: DataFrame, store: Store, checkpoint: str, as_of: da
     def publish(batch: DataFrame, batch_id: int) -> None:
         version = f"{batch_id:012d}"
         store.write("late_counts", batch, version)
-        store.commit(version)
+        store.commit(version, store.latest(before=version))
 
     return (
         counts.writeStream.outputMode("complete").foreachBatch(publish)

@@ -19,18 +19,19 @@ def stream_exports(spark: SparkSession, path: str, store: Store, checkpoint: str
     A batch that runs again after a failure starts from the same earlier version and writes
     the same folders, so every file counts once.
     """
-    lines = exports.with_provenance(
-        spark.readStream.option("maxFilesPerTrigger", 1).option("pathGlobFilter", glob).text(path)
+    files = exports.with_provenance(
+        spark.readStream.option("maxFilesPerTrigger", 1)
+        .option("pathGlobFilter", glob).text(path, wholetext=True)
     )
 
     def fold(batch: DataFrame, _batch_id: int) -> None:
-        moment = batch.agg(F.max("snapshot_time").alias("t")).first()["t"]
-        if moment is not None:
-            rows = exports.export_from_lines(exports.numbered(batch), config, separator).drop("snapshot_time")
-            run_update(store, rows, moment, moment, config)
+        newest = batch.agg(F.max(F.struct("snapshot_time", "file")).alias("t")).first()["t"]
+        if newest is not None:
+            rows = exports.export_from_files(batch, config, separator).drop("snapshot_time")
+            run_update(store, rows, newest["snapshot_time"], newest["snapshot_time"], config, source=newest["file"])
 
     return (
-        lines.writeStream.foreachBatch(fold)
+        files.writeStream.foreachBatch(fold)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -77,3 +77,8 @@ def test_dedup_keeps_the_first(spark):
                                "opty string, total_price double, seq int")
     for parts in (1, 5):
         assert sorted(r["seq"] for r in dedup.dedup_opty_price(df.repartition(parts)).collect()) == [1, 3, 4]
+
+
+def test_only_nameless_columns_are_dropped(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "a int, _cost int, _c3 int, `Unnamed: 4` int")
+    assert clean.drop_unnamed(df).columns == ["a", "_cost"]

@@ -81,16 +81,56 @@ def test_order_survives_splitting(spark, tmp_path):
     write(tmp_path, "a.csv", records=records)
     write(tmp_path, "b.csv", records=records[:5], header=FRENCH)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
     try:
         df = exports.load_export(spark, str(tmp_path)).filter("owner = 'A'")
         got = [r["opty"] for r in df.filter("seq.file like '%a.csv'").orderBy("seq").collect()]
-        assert exports.read_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 8
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == [r[4] for r in records]
 
 
+def test_a_header_far_down_is_found_however_the_file_is_split(spark, tmp_path):
+    write(tmp_path, "a.csv", notices=20)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = [r["owner"] for r in exports.load_export(spark, str(tmp_path)).orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == ["A", "Total"]
+
+
+def test_any_number_of_columns(spark, tmp_path):
+    more = [f"Extra {i}" for i in range(60)]
+    header = [*ENGLISH[:13], *more, *ENGLISH[13:]]
+    cells = [*record()[:13], *["x"] * 60, *record()[13:]]
+    write(tmp_path, "a.csv", header=header, records=[cells, [*cells, "beyond", "beyond"]])
+    got = exports.load_export(spark, str(tmp_path)).filter("owner = 'A'").collect()
+    assert [(r["product_line"], r["deal_type"], r["win_rate"]) for r in got] == [("NB", "Project", "50%")] * 2
+    below = exports.rows_below_header(exports.read_files(spark, str(tmp_path)))
+    assert sorted(r["n_beyond"] for r in below.collect()) == [0, 0, 2]
+
+
+def test_line_breaks_and_quotes_inside_cells(spark, tmp_path):
+    odd = record(owner='multi\nline ""owner"", x')
+    write(tmp_path, "a.csv", records=[odd, record(opty="O2"), record(owner="", opty="after")])
+    got = exports.load_export(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [(r["owner"], r["opty"]) for r in got] == [
+        ('multi\nline "owner", x', "O1"), ("A", "O2"), (None, "after"), ("Total", None)]
+    (tmp_path / "b.csv").write_text('\ufeffa,"open\r\n\r\nb,qx,\r\n', encoding="utf-8")
+    lines = exports.read_lines(spark, str(tmp_path / "b.csv")).orderBy("line_no").collect()
+    assert [(r["line_no"], r["cells"]) for r in lines] == [(1, ["a", "open"]), (2, [""]), (3, ["b", "qx", ""])]
+
+
+def test_files_are_checked(spark, tmp_path):
+    write(tmp_path, "a.csv", notices=3)
+    write(tmp_path, "b.dat", header=None)
+    got = {r["file"].rsplit("/", 1)[1]: r for r in exports.check_files(spark, str(tmp_path)).collect()}
+    assert [(got[f]["is_text"], got[f]["has_header"], got[f]["n_lines"]) for f in ("a.csv", "b.dat")] == [
+        (True, True, 6), (False, False, 14)]
+
+
 def test_files_by_time(spark, tmp_path):
     write(tmp_path, "new.csv", mtime=1_700_000_000)
     write(tmp_path, "old.csv", mtime=1_600_000_000)

@@ -57,13 +57,13 @@ def test_hot_keys_are_found_and_spread(spark):
     left = spark.createDataFrame(records, "key string, seq int")
     right = left.select("key").distinct().withColumn("v", F.length("key"))
     hot = skew.hot_hashes(left, ["key"]).first()["hot"]
-    assert hot == [spark.range(1).select(F.xxhash64(F.lit("hot")).alias("h")).first()["h"]]
+    assert list(hot) == [spark.range(1).select(F.xxhash64(F.lit("hot")).alias("h")).first()["h"]]
     partitions = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = skew.lookup_join(left, right, ["key"], ["seq"])
+        joined = skew.lookup_join(left, right, ["key"], ["seq"], skew.hot_hashes(left, ["key"]))
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert rows(joined) == rows(left.join(right, "key", "left"))
         assert max(sizes) < 30_000 / 6
@@ -73,6 +73,18 @@ def test_hot_keys_are_found_and_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_a_key_of_a_thousandth_is_hot_where_partitions_are_many(spark):
+    left = spark.range(200_000).select(F.when(F.col("id") % 1000 == 0, -1).otherwise(F.col("id")).alias("key"))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20000")
+    try:
+        hot = skew.hot_hashes(left, ["key"]).first()["hot"]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    key = spark.range(1).select(F.xxhash64(F.lit(-1).cast("long")).alias("h")).first()["h"]
+    assert 80 <= hot[key] <= 100  # 20 shares of a partition, four buckets each
+
+
 def test_hot_null_keys_do_not_match(spark):
     left = spark.createDataFrame([(None, i) for i in range(2000)] + [("a", 1)], "key string, seq int")
     right = spark.createDataFrame([("a", 1)], "key string, v int")

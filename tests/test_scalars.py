@@ -26,7 +26,8 @@ def test_sanitize_numeric(spark, text, number):
     ("2025-03-31", datetime(2025, 3, 31)), ("03/31/2025", datetime(2025, 3, 31)),
     ("3/1/2025", datetime(2025, 3, 1)), (" 2025-03-31 10:20:30 ", datetime(2025, 3, 31, 10, 20, 30)),
     ("31 Mar 2025", datetime(2025, 3, 31)), ("Mar 31, 2025", datetime(2025, 3, 31)),
-    ("31/31/2025", None), ("soon", None), ("", None), (None, None),
+    ("31/31/2025", None), ("soon", None), ("", None), (None, None), ("12:30", None), ("2025-03-31T10:20:30+02:00", None),
+    ("10/11/2025 3:04 PM", datetime(2025, 10, 11, 15, 4)), ("1/2/2025 12:00:05 AM", datetime(2025, 1, 2, 0, 0, 5)),
 ])
 def test_parse_dates(spark, text, moment):
     from snapfold.config import MONTH_FIRST_FORMATS
@@ -110,3 +111,15 @@ def test_sums_ignore_nan_and_start_at_zero(spark):
     frame = spark.createDataFrame([(1.5,), (float("nan"),), (None,)], "v double")
     assert frame.agg(x.money_sum("v").alias("s")).first()["s"] == 1.5
     assert frame.limit(0).agg(x.money_sum("v").alias("s")).first()["s"] == 0.0
+
+
+def test_numbers_stay_as_they_are(spark):
+    df = spark.createDataFrame([(1.6e8, -3, "1.6e8")], "d double, i int, t string")
+    got = df.select(x.sanitize_numeric("d"), x.sanitize_numeric("i"), x.sanitize_numeric("t")).first()
+    assert tuple(got) == (1.6e8, -3.0, 1.68)
+
+
+def test_amounts_that_do_not_fit_are_counted(spark):
+    df = spark.createDataFrame([(1e21,), (float("inf"),), (2.5,), (None,), (float("nan"),)], "a double")
+    got = df.agg(x.money_sum("a"), x.money_misfits("a")).first()
+    assert tuple(got) == (2.5, 2)

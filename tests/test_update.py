@@ -77,6 +77,32 @@ def test_the_same_snapshot_twice_changes_nothing(spark, store):
     assert store.latest() == version and store.latest(before=version) != version
 
 
+def test_snapshots_of_one_time_are_runs_of_their_own(spark, store):
+    update.run_update(store, snapshot(spark, row()), FIRST, FIRST, source="a.csv")
+    update.run_update(store, snapshot(spark, row("O2", owner="B")), FIRST, FIRST, source="b.csv")
+    assert store.versions().count() == 2
+    assert rows(store.read("owner_counts", store.latest())) == [("A", 23, 1), ("B", 23, 1)]
+
+
+def test_a_late_snapshot_is_folded_onto_the_latest_state(spark, store):
+    update.run_update(store, snapshot(spark, row(), row("O2")), SECOND, SECOND)
+    late = snapshot(spark, row("O3", owner="B"))
+    version = update.run_update(store, late, FIRST, FIRST)
+    assert store.latest() == version
+    assert rows(store.read("owner_counts", version)) == [("A", 23, 2), ("B", 23, 1)]
+    assert [(r["date"], r["nb_opty"]) for r in store.read("log", version).orderBy("date").collect()] == [(FIRST, 1), (SECOND, 2)]
+    before = tables(store, version)
+    assert update.run_update(store, late, FIRST, FIRST) == version and tables(store, version) == before
+
+
+def test_only_a_missing_list_of_runs_means_no_runs(spark, store, tmp_path):
+    assert store.latest() is None
+    store.commit("1")
+    (tmp_path / "store" / "runs" / "part-torn.parquet").write_text("torn")
+    with pytest.raises(Exception):
+        store.latest()
+
+
 def test_result_does_not_depend_on_order_or_partitions(spark):
     random.seed(3)
     records = [row(f"O{random.randrange(20)}", owner=random.choice("ABC"), model=random.choice("MN"), total=float(i))
@@ -114,6 +140,10 @@ def test_stream_of_export_files(spark, store, tmp_path):
     log = store.read("log", version).orderBy("seq").collect()
     assert [(r["date"].day, r["nb_opty"]) for r in log] == [(4, 3), (11, 1), (18, 2)]
     assert rows(store.read("owner_counts", version)) == [("A", 23, 3)]
+    # The same files in a batch, each read by its own path, end in the same tables.
+    other = Store(spark, str(tmp_path / "batch"))
+    again = replay.run_exports(other, str(folder), "all")
+    assert tables(other, again) == tables(store, version)
     # Nothing new: nothing changes. A new file is folded in on its own.
     stream_replay.stream_exports(spark, str(folder), store, checkpoint).awaitTermination()
     assert store.latest() == version
@@ -139,6 +169,11 @@ def test_streamed_counters(spark, store, tmp_path):
     assert run() == [("A", 23, 2)]
     add(("A", "O1", day), ("B", "O9", day))
     assert run() == [("A", 23, 2), ("B", 23, 1)]
+    for k in range(3):  # one snapshot in three files, one file a batch
+        add(("C", f"O{k}", day))
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(folder)
+    counters.stream_owner_counts(stream, store, str(tmp_path / "c"), SECOND).awaitTermination()
+    assert rows(store.read("owner_counts", store.latest())) == [("A", 23, 2), ("B", 23, 1), ("C", 23, 3)]
 
 
 def test_config_is_checked():
