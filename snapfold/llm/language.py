@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.rows import free_name, spread_lookup, text_function, written
+from snapfold.llm.rows import free_name, let_workers_import, spread_lookup, text_function, written
 
 #: Buckets of the letter triples.
 BUCKETS = 1 << 15
@@ -71,6 +71,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
                 [pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(counts[seen])], ["lang", "bucket", "n"]
             )
 
+    let_workers_import(docs.sparkSession)
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).dropna()
     counted = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     sums: dict[str, np.ndarray] = {}

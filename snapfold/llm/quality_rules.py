@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.rows import free_name, text_function
+from snapfold.llm.rows import free_name, let_workers_import, text_function
 
 #: Rows of the sample that orders the rules, about; it decides no verdict.
 SAMPLE_ROWS = 2_000
@@ -100,6 +100,7 @@ def measured_cost(rows: DataFrame, rules=BASE + RULES, text: str = "text") -> di
                     spent[k] += time.perf_counter() - began
         yield pa.RecordBatch.from_pydict({"k": list(range(len(rules))), "s": spent, "failed": failed, "n": [n] * len(rules)})
 
+    let_workers_import(rows.sparkSession)
     seen = rows.select(F.col(text).cast("string")).mapInArrow(run, "k long, s double, failed long, n long")
     sums = seen.groupBy("k").agg(F.sum("s").alias("s"), F.sum("failed").alias("failed"), F.sum("n").alias("n")).collect()
     return {rules[r.k].name: (r.s / max(r.n, 1), r.failed / max(r.n, 1)) for r in sums}

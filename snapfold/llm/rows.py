@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,17 @@ SLICE_ROWS = 256
 MAX_HOT_KEYS = 1_000
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers of a local session find this package where the driver has it, whatever folder it was started in.
+
+    On a cluster the package comes with ``--py-files`` or is installed; the entry then names a folder that is not there.
+    """
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def text_function(make: Callable[[], Callable[[list], pa.Array]], returns: str) -> Callable[[str], Column]:
     """Column function over whole texts, fed to Python in Arrow batches.
 
@@ -33,6 +46,7 @@ def text_function(make: Callable[[], Callable[[list], pa.Array]], returns: str)
             parts = [batch.slice(k, SLICE_ROWS) for k in range(0, max(len(batch), 1), SLICE_ROWS)]
             yield pa.concat_arrays([convert(part.cast(pa.large_binary()).to_pylist()) for part in parts])
 
+    let_workers_import(SparkSession.getActiveSession())
     function = run.asNondeterministic()
     return lambda text: function(F.col(text).cast("string"))
 
@@ -50,12 +64,14 @@ def free_name(df: DataFrame, stem: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, and lost executors do not lose it."""
     spark = df.sparkSession
+    let_workers_import(spark)
     path = work_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

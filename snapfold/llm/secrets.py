@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.rows import free_name, text_function
+from snapfold.llm.rows import free_name, let_workers_import, text_function
 
 #: The kinds in order, their patterns, and what a match needs.
 KINDS = ("assign", "access", "hex", "markov")
@@ -101,6 +101,7 @@ def train(docs: DataFrame, text: str = "text") -> np.ndarray:
                 [pa.array([name] * len(seen), pa.string()), pa.array(seen), pa.array(counts[seen])], ["model", "pair", "n"]
             )
 
+    let_workers_import(docs.sparkSession)
     counted = docs.select(F.col(text).cast("string")).mapInArrow(count, "model string, pair long, n long")
     table = {name: np.zeros(N * N) for name in ("random", "ordinary")}
     for row in counted.groupBy("model", "pair").agg(F.sum("n").alias("n")).collect():

@@ -28,7 +28,7 @@ VOCABULARY = 3_000
 #: A term is kept if toxic examples have it in so many cases, and so many times as often as others.
 LEAST_CASES, LEAST_ODDS = 8, 8.0
 #: Neighbours that vote, and the weight of the base rate beside them.
-NEIGHBOURS, PRIOR_WEIGHT = 15, 1.0
+NEIGHBOURS, PRIOR_WEIGHT = 15, 3.0
 #: Examples in a block of the index.
 BLOCK = 64
 #: Every so-manieth example is kept for calibration.
@@ -154,21 +154,20 @@ class BlockMaxIndex:
         return toxic / mass
 
 
-def calibration(votes: np.ndarray, toxic: np.ndarray, mass: np.ndarray) -> tuple[list[float], list[float]]:
-    """Rising steps from vote to probability: pooled adjacent violators over (vote, toxic 0/1, mass)."""
-    pools: list[list[float]] = []  # least vote, mass, toxic mass
+def calibration(votes: np.ndarray, toxic: np.ndarray, mass: np.ndarray) -> list[tuple[float, float, float]]:
+    """Rising steps from vote to probability, as (least vote, largest vote, probability): pooled adjacent violators."""
+    pools: list[list[float]] = []  # least vote, mass, toxic mass, largest vote
     order = np.argsort(votes, kind="stable")
     for v, t, m in zip(votes[order].tolist(), toxic[order].tolist(), mass[order].tolist(), strict=True):
         if pools and pools[-1][0] == v:
             pools[-1][1] += m
             pools[-1][2] += m * t
         else:
-            pools.append([v, m, m * t])
+            pools.append([v, m, m * t, v])
         while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
             last = pools.pop()
-            pools[-1][1] += last[1]
-            pools[-1][2] += last[2]
-    return [p[0] for p in pools], [(p[2] + 0.1 * p[2] / p[1]) / (p[1] + 0.1) for p in pools]
+            pools[-1][1:] = [pools[-1][1] + last[1], pools[-1][2] + last[2], last[3]]
+    return [(p[0], p[3], p[2] / p[1]) for p in pools]
 
 
 @dataclass
@@ -176,7 +175,7 @@ class ToxicityModel:
     idf: np.ndarray
     index: BlockMaxIndex
     base: float
-    steps: tuple[list[float], list[float]]
+    steps: list[tuple[float, float, float]]
 
     def judge(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
         """Score and the ids of the neighbours that speak for it, nearest first."""
@@ -184,8 +183,18 @@ class ToxicityModel:
         return self.calibrated(self.index.vote(found, self.base)), [int(self.index.ids[e]) for _, e in found]
 
     def calibrated(self, vote: float) -> float:
-        at, value = self.steps
-        return float(np.interp(vote, at, value)) if at else vote
+        """Probability of a vote. Between two steps it rises slowly at first, since few examples have such votes and the
+        rarer class should not be called on them."""
+        if not self.steps:
+            return vote
+        k = sum(1 for least, _, _ in self.steps if least <= vote) - 1
+        if k < 0:
+            return self.steps[0][2]
+        _, top, value = self.steps[k]
+        if vote <= top or k + 1 == len(self.steps):
+            return value
+        following, _, above = self.steps[k + 1]
+        return value + (above - value) * ((vote - top) / (following - top)) ** 2
 
 
 def labelled(labels: DataFrame, learn) -> DataFrame:
@@ -288,7 +297,7 @@ def fit(vectors: DataFrame, chosen: DataFrame, stands_for: dict[int, float], n_t
     for r, aside in zip(rows, held, strict=True):
         if not aside and r.terms:
             entries.append((r.doc_id, *tf_idf(r.terms, r.counts, idf), mass[r.toxic], mass[r.toxic] * r.toxic))
-    model = ToxicityModel(idf, BlockMaxIndex(entries, n_terms), base, ([], []))
+    model = ToxicityModel(idf, BlockMaxIndex(entries, n_terms), base, [])
     aside = [r for r, a in zip(rows, held, strict=True) if a]
     votes = [
         model.index.vote(model.index.nearest(*tf_idf(r.terms, r.counts, idf), NEIGHBOURS), base) for r in aside

@@ -1,0 +1,99 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from snapfold.llm import toxicity
+from snapfold.llm.queries import op7_toxicity
+
+LEARN = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = op7_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 and r.predicted == (r.score >= 0.3) for r in rows)
+    toxic, clean = [r.predicted for r in rows if r.toxic == 1], [r.predicted for r in rows if r.toxic == 0]
+    assert sum(toxic) >= 0.75 * len(toxic)
+    assert sum(clean) <= 0.02 * len(clean)
+
+
+def brute_force(examples, terms, weights, k):
+    """Cosine with every distinct vector."""
+    query = dict(zip(terms.tolist(), weights.tolist(), strict=True))
+    sims = [sum(query.get(t, 0.0) * w for t, w in zip(e[1].tolist(), e[2].tolist(), strict=True)) for e in examples]
+    return sorted((round(s, 10) for s in sims if s > 0), reverse=True)[:k]
+
+
+@pytest.mark.parametrize("block", [2, 7, 64])
+def test_index_against_brute_force(monkeypatch, block):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    rng = random.Random(block)
+    n_terms, idf = 30, np.linspace(1, 5, 30)
+    examples, seen = [], set()
+    while len(examples) < 120:
+        terms = sorted(rng.sample(range(n_terms), rng.randint(1, 6)))
+        if tuple(terms) not in seen:
+            seen.add(tuple(terms))
+            vector = toxicity.tf_idf(terms, [rng.randint(1, 4) for _ in terms], idf)
+            examples.append((len(examples), *vector, 1.0, float(rng.random() < 0.3)))
+    index = toxicity.BlockMaxIndex(examples, n_terms)
+    for _ in range(60):
+        terms = sorted(rng.sample(range(n_terms), rng.randint(1, 5)))
+        query = toxicity.tf_idf(terms, [1] * len(terms), idf)
+        for k in (1, 5, 20):
+            assert [round(s, 10) for s, _ in index.nearest(*query, k)] == brute_force(examples, *query, k)
+    assert index.nearest(*toxicity.tf_idf([], [], idf), 5) == []
+
+
+def test_equal_examples_are_one_entry_that_weighs_more():
+    vector = toxicity.tf_idf([1], [1], np.ones(3))
+    index = toxicity.BlockMaxIndex([(7, *vector, 1.0, 1.0), (5, *vector, 3.0, 0.0)], 3)
+    assert index.ids.tolist() == [5] and index.mass.tolist() == [4.0] and index.toxic.tolist() == [1.0]
+    assert toxicity.BlockMaxIndex([], 3).nearest(*vector, 3) == []
+
+
+def test_calibration_rises():
+    rng = np.random.default_rng(1)
+    votes = rng.random(500)
+    steps = toxicity.calibration(votes, (rng.random(500) < votes**2).astype(float), np.ones(500))
+    assert all(a[2] < b[2] and a[1] < b[0] for a, b in zip(steps, steps[1:], strict=False))
+    model = toxicity.ToxicityModel(np.ones(1), toxicity.BlockMaxIndex([], 1), 0.1, steps)
+    values = [model.calibrated(v) for v in np.linspace(0, 1, 101)]
+    assert values == sorted(values) and 0 <= values[0] and values[-1] <= 1
+
+
+def test_awkward_rows(spark, docs_of):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    text = lambda bad: " ".join([word() for _ in range(30)] + [f"nasty{word()}" for _ in range(3 * bad)])
+    pairs = [(k, text(k % 5 == 0)) for k in range(600)]
+    pairs += [(600, None), (601, ""), (602, "nastyfool " * 40_000), (603, "plain words here"), (603, "plain words here"), (None, "nastything nastyfool nastybird x y z")]
+    docs = docs_of(pairs, extra=("score", "terms"))
+    labels = spark.createDataFrame([(k, None, int(k % 5 == 0)) for k in range(600)] + [(None, 1, 1), (3, 1, None), (9999, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+    out = toxicity.with_toxicity(docs, labels, LEARN).collect()
+    assert len(out) == len(pairs) and all(0 <= r.score <= 1 for r in out)
+    score = {r.doc_id: r.score for r in out}
+    assert score[602] > 0.9 and score[None] > 0.9 and max(score[k] for k in (600, 601, 603)) < 0.1
+    held = [k for k in range(600) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert all((score[k] >= 0.3) == (k % 5 == 0) for k in held)
+
+
+def test_scores_do_not_follow_labels_of_held_out_rows(spark, docs_of):
+    pairs = [(k, f"bad{'ly' * (k % 2)} thing number w{k} is here") for k in range(200)]
+    learn = lambda flip: spark.createDataFrame(
+        [(k, 1, (k % 2) ^ (flip and zlib.crc32(str(k).encode()) % 4 == 2)) for k in range(200)], "doc_id long, quality int, toxic int")
+    one, other = (
+        sorted((r.doc_id, r.score) for r in toxicity.with_toxicity(docs_of(pairs), learn(f), LEARN).collect()) for f in (False, True)
+    )
+    assert one == other
+
+
+def test_empty_tables(spark, docs_of):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.with_toxicity(docs_of([]), labels, LEARN).count() == 0
+    rows = toxicity.with_toxicity(docs_of([(1, "a b")]), labels, LEARN).collect()
+    assert [(r.doc_id, r.score) for r in rows] == [(1, 0.0)]
