@@ -44,7 +44,6 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("found.items").cast("long").alias("n_items"),
         _sha(F.array_sort(F.col("found.items").cast("array<string>"))).alias("items_sha256"),
         (F.col("found.n_hit") > 0).alias("contaminated"),
-        "found.spans",
     )
 
 
@@ -135,4 +134,67 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK = r"[\x20\x09-\x0D]"
+_UNBLANK = r"[^\x20\x09-\x0D]+"
+
+_OP2_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, w, least(len(w), {decontaminate.WINDOW}) AS n FROM (
+  SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s
+      FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+x AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g))),
+m AS (SELECT doc_id, item_id, k, x.n FROM x JOIN g USING (n, s)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+_OP9_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_UNBLANK}') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_UNBLANK}')) AS l FROM documents),
+g AS (SELECT doc_id, k, array_to_string(w[k:k + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+  SELECT doc_id, unnest(range(k, k + 3)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1)
+  GROUP BY doc_id),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '{_BLANK}', '', 'g')) AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines,
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower,
+  len(list_filter(w, lambda x: regexp_full_match(x, '[#*$%&|<>\-=_.!]+'))) AS n_bullets
+  FROM d LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR n_upper > n_lower OR 4 * n_bullets > n_words
+       OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
+FROM b"""
+
+
+def _values(pairs) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+
+
+_OP8_SQL = rf"""
+WITH known(plain, id) AS (VALUES {_values(licenses.known_sentences().items())}),
+rules(licence, ids) AS (VALUES {_values(licenses.rule_sequences())}),
+s AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS k
+      FROM (SELECT doc_id, string_split_regex(text, '{licenses.SENTENCE_END}') AS p FROM documents)),
+f AS (SELECT doc_id, string_agg(id, ',' ORDER BY k) AS sentences FROM s JOIN known ON known.plain =
+  regexp_replace(regexp_replace(lower(s), '{licenses.NOT_PLAIN}', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') GROUP BY doc_id),
+h AS (SELECT doc_id, licence, ids FROM f JOIN rules ON contains(';' || replace(sentences, ',', ';') || ';', ids)),
+o AS (SELECT DISTINCT doc_id, licence FROM h WHERE NOT EXISTS (
+  SELECT 1 FROM h AS b WHERE b.doc_id = h.doc_id AND length(b.ids) > length(h.ids) AND contains(b.ids, h.ids)))
+SELECT doc_id, coalesce(sentences, '') AS sentences, coalesce(licences, '') AS licences FROM documents
+LEFT JOIN f USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(licence, ',' ORDER BY licence) AS licences FROM o GROUP BY doc_id)
+USING (doc_id)"""
+
+#: Models, tokenizers and hashes of the others cannot be said in SQL; tests hold them against brute force or libraries.
+ORACLES: dict[str, str] = {
+    "op2_decontamination": _OP2_SQL,
+    "op8_license_scan": _OP8_SQL,
+    "op9_quality_rules": _OP9_SQL,
+}
