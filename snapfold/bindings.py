@@ -239,11 +239,10 @@ def enduser_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = opps(spark, sf_dir, *OPPS_COLUMNS, also=(
         "l_orderkey", "l_partkey", "l_returnflag", "c_mktsegment", "p_brand", "p_type", "p_name"))
     return rows.withColumn("operating_system", os_text()).selectExpr(
-        "opty AS opportunity_number", "concat('Q', l_orderkey) AS quote_number",
-        "c_mktsegment AS customer_industry", "operating_system", "owner AS owner_full_name",
-        "win_rate", "product_line", "created", "closed", "stage", "customer AS customer_account",
-        "reseller AS indirect_account", "account AS account_name", "model AS sales_model",
-        "qty AS quantity", "part_number", "sales_price AS requested_dealer_price", "total_price",
+        "opty", "concat('Q', l_orderkey) AS quote", "c_mktsegment AS sector", "operating_system AS os", "owner",
+        "win_rate", "product_line AS bu", "created", "closed", "stage AS status", "customer",
+        "reseller", "account AS distributor", "model", "qty AS volume", "part_number",
+        "sales_price AS dealer_price", "total_price AS revenue",
         "CASE WHEN l_returnflag = 'R' THEN 'returned' END AS close_reason",
         "l_returnflag AS close_description", "seq",
     )

@@ -92,28 +92,37 @@ CLAIM_COLUMNS = ("claim_date", "quote", "claim_qty", "claim_val", "claim_pn")
 
 # --- End-user follow-up ---------------------------------------------------------------
 
-# Column of the export -> column of the follow-up; other names stay as they are.
-FOLLOWUP_RENAMES = {
-    "customer_industry": "sector",
-    "operating_system": "os",
-    "owner_full_name": "owner",
-    "product_line": "bu",
-    "stage": "status",
-    "customer_account": "customer",
-    "opportunity_number": "opty",
-    "indirect_account": "reseller",
-    "account_name": "distributor",
-    "quantity": "volume",
-    "quote_number": "quote",
-    "sales_model": "model",
-    "requested_dealer_price": "dealer_price",
-    "total_price": "revenue",
-}
+# Header labels of the end-user export, in its order, each with the column it becomes.
+ENDUSER_LABELS = (
+    ("Opportunity Number", "opty"),
+    ("Quote Number", "quote"),
+    ("End Customer: Main Industry", "sector"),
+    ("Product: Operating System", "os"),
+    ("Opportunity Owner: Full Name", "owner"),
+    ("Win Rate", "win_rate"),
+    ("Product Line", "bu"),
+    ("Created Date", "created"),
+    ("Close Date", "closed"),
+    ("Stage", "status"),
+    ("End Customer: Account Name", "customer"),
+    ("Indirect Account: Account Name", "reseller"),
+    ("Account Name: Account Name", "distributor"),
+    ("Product: Sales Model Name", "model"),
+    ("Quantity", "volume"),
+    ("Part Number", "part_number"),
+    ("Requested Dealer Price", "dealer_price"),
+    ("Total Price", "revenue"),
+    ("Close Reason", "close_reason"),
+    ("Close Description", "close_description"),
+)
+ENDUSER_DATES = ("created", "closed")
+ENDUSER_NUMBERS = ("volume", "dealer_price", "revenue")
 
 FOLLOWUP_MANUAL = (
     "activity", "iqr", "capacity_qty", "competitors", "comment", "next_step", "next_step_schedule",
 )
 
+# The columns of the follow-up in their order.
 FOLLOWUP_COLUMNS = (
     "sector", "activity", "os", "owner", "win_rate", "bu", "created_period", "invoice_period",
     "status", "close_reason", "close_description", "customer", "opty", "iqr", "reseller",
