@@ -206,7 +206,7 @@ class _Weights(dict):
         return value
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 60) -> tuple[np.ndarray, float]:
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer; a row is its buckets, their shares of the words, and the target."""
     weights, bias = np.zeros(BUCKETS), 0.0
     if not rows:
@@ -249,20 +249,21 @@ def train(docs: DataFrame, text: str = "text", *, key: str = "doc_id", fit_rows:
             out = []
             for t in texts:
                 b, v = _features(t)
-                out.append({"good": model.good(votes_of(t)), "buckets": b, "shares": v})
-            return pa.array(
-                out,
-                pa.struct([("good", pa.float64()), ("buckets", pa.list_(pa.int32())), ("shares", pa.list_(pa.float64()))]),
-            )
+                packed = np.array(b, dtype=np.int32).tobytes(), np.array(v, dtype=np.float64).tobytes()
+                out.append({"good": model.good(votes_of(t)), "buckets": packed[0], "shares": packed[1]})
+            return pa.array(out, pa.struct([("good", pa.float64()), ("buckets", pa.binary()), ("shares", pa.binary())]))
 
         return run
 
     chosen = docs.filter(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < limit).select(key, text)
-    chosen = chosen.withColumn(name, text_function(make, "good double, buckets array<int>, shares array<double>")(text))
+    chosen = chosen.withColumn(name, text_function(make, "good double, buckets binary, shares binary")(text))
     # the limit only binds where ids are null or repeated
     chosen = chosen.orderBy(F.xxhash64(key), F.xxhash64(text)).select(name).limit(2 * fit_rows)
-    rows = [(r[0].buckets, r[0].shares, r[0].good) for r in chosen.collect()]
-    return model, fit_scorer([r for r in rows if r[0]])
+    rows = [
+        (np.frombuffer(r[0].buckets, dtype=np.int32), np.frombuffer(r[0].shares, dtype=np.float64), r[0].good)
+        for r in chosen.toLocalIterator()
+    ]
+    return model, fit_scorer([r for r in rows if len(r[0])])
 
 
 def with_quality(docs: DataFrame, out: str, text: str = "text", *, key: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:

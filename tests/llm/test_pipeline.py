@@ -11,9 +11,9 @@ SF = "/root/testdata/sf0.01"
 
 def test_pipeline_against_brute_force(spark):
     """Each stage again, over what the one before it has kept, in plain Python."""
-    from test_decontaminate import brute_force as windows
-    from test_decontaminate import words
-    from test_simhash import brute_force as components
+    from llm.test_decontaminate import brute_force as windows
+    from llm.test_decontaminate import words
+    from llm.test_simhash import brute_force as components
 
     def has_passage(text):
         doc = words(text)
