@@ -16,7 +16,7 @@ def master(spark, records, weeks):
     return spark.createDataFrame(records, f"key string, opty string, model string, seq int, {names}")
 
 
-WORDS = ("tata", "titi", "toto", "tutu", "tete")
+WORDS = ("ash", "birch", "cedar", "elm", "fir")
 
 
 def test_shift_from_history(spark):
@@ -25,10 +25,10 @@ def test_shift_from_history(spark):
     new = w.week_window(datetime(2025, 10, 8))
     assert new == [39, 40, 41, 42, 43]
     shifted = history.apply_week_shift(m, a, new, 2).first()
-    assert [shifted[f"Week {i}"] for i in range(37, 42)] == ["toto", "tutu", "tete", "", ""]
+    assert [shifted[f"Week {i}"] for i in range(37, 42)] == ["cedar", "elm", "fir", "", ""]
     pipe = spark.createDataFrame([("TEST1", 1), ("NEW", 2)], "key string, seq int")
     got = history.week_columns_for_pipe(pipe, history.apply_week_shift(m, a, new, 2), new)
-    assert rows(got) == [("NEW", 2, "", "", "", "", ""), ("TEST1", 1, "toto", "tutu", "tete", "", "")]
+    assert rows(got) == [("NEW", 2, "", "", "", "", ""), ("TEST1", 1, "cedar", "elm", "fir", "", "")]
 
 
 def test_backward_shift(spark):
