@@ -1,8 +1,9 @@
 """Licences in texts by sentence rules: sentences become identifiers, sequences of identifiers match ordered rules.
 
-Everything is a column expression. A text is cut into sentences, each is normalised and looked up among the known
-sentences; the identifiers found, in order, are one string in which each rule is a substring. Texts without any of the
-``CUES``, one of which is in every known sentence, skip all that.
+Everything is a column expression. A text becomes words, sentence ends and line breaks. A known sentence lies between two
+such ends; line breaks inside it, blank lines and comment signs are no more than a space. The identifiers found, in order,
+are one string in which each rule is a substring. Texts without any of the ``CUES``, one of which is in every known
+sentence, skip all that.
 """
 
 from __future__ import annotations
@@ -73,6 +74,13 @@ RULES = (
 CUES = ("licen", "warrant", "permission", "rights")
 SENTENCE_END = r"[.!?]+(?:\s+|$)|\n+"
 NOT_PLAIN = r"[^a-z0-9.]+"
+#: Sentence ends by punctuation and by line breaks, the two cases of ``SENTENCE_END``, and the mark of the first.
+STOP, BREAK = SENTENCE_END.split("|\\n")[0], r"\n+"
+STOP_MARK = "|"
+#: Comment signs that count as words or as sentence ends; all others are not plain anyway.
+SIGN_WORDS, SIGN_STOPS = r"(?:dnl|rem|c)(?![a-z0-9.])[ .]*", r"(?m)^[ \t]*!+[ \t]*"
+#: A line break inside a sentence, with blank lines and the next line's comment sign.
+WRAP = rf"[ .]*(?:\n[ .]*(?:{SIGN_WORDS})?)+"
 
 
 def _plain(sentence: str) -> str:
@@ -103,13 +111,27 @@ def rule_sequences() -> list[tuple[str, str]]:
     return sorted(rules, key=lambda r: (-r[1].count(";"), r[0], r[1]))
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case; letters, digits and points, single spaces between; no points or spaces at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), NOT_PLAIN, " "), r"^[ .]+|[ .]+$", "")
+def marked(text: Column) -> Column:
+    """Lower case; letters, digits and points, single spaces between, each sentence end as one ``STOP_MARK`` or line break."""
+    plain = F.regexp_replace(F.replace(F.lower(text), F.lit(STOP_MARK), F.lit(" ")), SIGN_STOPS, "")
+    ended = F.regexp_replace(F.regexp_replace(plain, STOP, re.escape(STOP_MARK)), BREAK, "\n")
+    return F.regexp_replace(ended, r"[^a-z0-9.|\n]+", " ")
+
+
+def known_pattern() -> str:
+    """Any known sentence from one sentence end to another in a marked text, the longest first."""
+    known = sorted(known_sentences(), key=lambda s: (-len(s), s))
+    spelt = "|".join(f"(?: |{WRAP})".join(map(re.escape, s.split())) for s in known)
+    return rf"(?<![^|\n])[ .]*(?:{SIGN_WORDS})?(?:{spelt})[ .]*(?![^|\n])"
+
+
+def unwrapped(found: Column) -> Column:
+    """A sentence found in a marked text as ``known_sentences`` spells it."""
+    return F.regexp_replace(F.regexp_replace(found, WRAP, " "), rf"^[ .]*(?:{SIGN_WORDS})?|[ .]+$", "")
 
 
 def with_licences(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``out``: sentences (place among all sentences, from 0, and identifier, in order) and
+    """``docs`` with a struct ``out``: sentences (sentence ends before it, line breaks too, and identifier, in order) and
     licences (distinct, sorted) whose rule matches. A rule inside a longer rule that matches does not count on its own.
     Null and empty texts have none.
     """
@@ -118,12 +140,26 @@ def with_licences(docs: DataFrame, out: str, text: str = "text") -> DataFrame:
     for c in CUES:
         cue = cue | F.contains(whole, F.lit(c))
     table = F.create_map(*(F.lit(x) for pair in known_sentences().items() for x in pair))
-    place = F.transform(
-        F.split(F.col(text).cast("string"), SENTENCE_END, -1),
-        lambda s, k: F.struct(k.alias("place"), table[normalised(s)].alias("id")),
+    pattern = F.lit(known_pattern())
+    ends = lambda s: F.length(s) - F.length(F.translate(s, "|\n", ""))
+    # what lies before a sentence and itself, so that the ends before it can be counted
+    parts = lambda s: F.arrays_zip(
+        F.split(s, known_pattern(), -1).alias("before"), F.regexp_extract_all(s, pattern, F.lit(0)).alias("found")
+    )
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<place:int,id:string>>").alias("all"))
+    placed = lambda acc, p: F.struct(
+        (acc["n"] + ends(p["before"]) + ends(p["found"])).alias("n"),
+        F.concat(
+            acc["all"],
+            F.array(F.struct((acc["n"] + ends(p["before"])).alias("place"), table[unwrapped(p["found"])].alias("id"))),
+        ).alias("all"),
     )
     nothing = F.array().cast("array<struct<place:int,id:string>>")
-    found = F.when(cue, F.filter(place, lambda s: s["id"].isNotNull())).otherwise(nothing)
+    known = lambda s: F.aggregate(
+        F.filter(parts(s), lambda p: p["found"].isNotNull()), start, placed, lambda acc: acc["all"]
+    )
+    # worked out once, not for each of its uses
+    found = F.when(cue, F.get(F.transform(F.array(marked(F.col(text).cast("string"))), known), F.lit(0))).otherwise(nothing)
     line = lambda ids: F.concat(F.lit(";"), F.array_join(ids, ";"), F.lit(";"))
     rules = F.array(*(F.struct(F.lit(a).alias("licence"), F.lit(b).alias("ids")) for a, b in rule_sequences()))
     matched = lambda seq: F.filter(rules, lambda r: F.contains(seq, r["ids"]))

@@ -48,3 +48,76 @@ def test_every_known_sentence_has_a_cue_in_its_notice():
 def test_main_path_is_native(spark, data):
     plan = licenses.with_licences(spark.read.parquet(f"{data}/documents.parquet"), "found")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+APACHE = """Copyright 2020 Somebody
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.
+"""
+WRAPPED = (
+    (MIT, "MIT", ["mit-grant", "mit-as-is"]),
+    (APACHE, "Apache-2.0", ["apache-header", "apache-copy", "apache-as-is", "apache-see"]),
+    (GPL, "GPL-3.0-or-later", ["gpl-free", "gpl-warranty", "gpl-see", "gpl-copy"]),
+)
+
+
+def test_notices_as_they_are_laid_out(spark, docs_of):
+    signs = ("", "# ", "// ", " * ", ";; ", "-- ", "% ", "> ", "! ", "C ", "dnl ", "REM ", '.\\" ')
+    texts, expected = [], []
+    for notice, licence, ids in WRAPPED:
+        for sign in signs:
+            for end in ("\n", "\r\n"):
+                texts.append("int x;\n" + "".join(f"{sign}{row}{end}" for row in notice.splitlines()) + "int y;\n")
+                expected.append((ids, [licence]))
+        texts.append("/*\n" + notice + " */\ncode")
+        expected.append((ids, [licence]))
+    assert found(licenses.with_licences(docs_of([*enumerate(texts)]), "found")) == expected
+
+
+def test_sentences_on_lines_of_their_own_and_their_places(spark, docs_of):
+    texts = ["Title\nReleased under the MIT License\nCopyright 2020", "Not released under the MIT\nLicense", "a\n\nb. c\nLicensed under\nCC BY 4.0\nAll rights\nreserved. d"]
+    rows = licenses.with_licences(docs_of([*enumerate(texts)]), "found").orderBy("doc_id").collect()
+    assert [[(s.place, s.id) for s in r.found.sentences] for r in rows] == [[(1, "mit-released")], [], [(3, "cc-by"), (5, "rights")]]
