@@ -1,43 +1,56 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their beginnings, of which those that tell toxic examples from others make up the vocabulary. The
-index holds the examples' vectors in blocks; per block and term it knows the largest weight, so a query visits blocks
-by their upper bound and stops when no block can change its neighbours. Neighbours vote with their cosine; votes are
-calibrated on examples that are not in the index.
+Terms are words and their beginnings, all that the examples have, known by their 64-bit hashes. Those that tell toxic
+examples from others weigh more. The index holds the examples' vectors in blocks; per block and term it knows the largest
+weight, so a query leaves out the blocks that cannot change its neighbours; where that would leave most of them, all are
+scored. Neighbours vote with their cosine; votes are calibrated on examples that are not in the index.
 """
 
 from __future__ import annotations
 
 import math
+import re
+import uuid
+import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapfold.llm.rows import text_function, written
+from snapfold.llm.rows import SLICE_ROWS, text_function, written
+from snapfold.session import work_folder
 
 #: Labelled rows of each class that are learnt from, about.
 EXAMPLES = 12_000
-#: Terms in the vocabulary, at most.
-VOCABULARY = 3_000
-#: A term is kept if toxic examples have it in so many cases, and so many times as often as others.
-LEAST_CASES, LEAST_ODDS = 8, 8.0
+#: The weight of a term that does not tell toxic examples from others, and the odds and the certainty (log odds by their
+#: standard error: from, to) that give it weight 1.
+LEAST_WEIGHT, FULL_ODDS, CERTAIN = 0.05, 8.0, (2.0, 4.0)
 #: Neighbours that vote, and the weight of the base rate beside them.
 NEIGHBOURS, PRIOR_WEIGHT = 15, 3.0
 #: Examples in a block of the index.
 BLOCK = 64
+#: Terms that this share of the examples has are held densely, which is faster.
+DENSE_SHARE = 1 / 16
+#: Rounding of sums in single precision, as a share of them.
+ROUNDING = 1e-4
+#: Blocks are tried for queries whose heaviest so many terms make up most of their length.
+HEAVY = 16
 #: Every so-manieth example is kept for calibration.
 CALIBRATE_EVERY = 5
 #: From this score on a text is called toxic.
 TOXIC_FROM = 0.3
 REMEMBERED = 300_000
-_WORD = regex.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Values that an index takes in at a time.
+PART = 1_000_000
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BEGINNINGS = (4, 6)
+NO_TERMS = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
 
 def words_of(text: str) -> Counter:
@@ -55,44 +68,105 @@ def sketch(text: str) -> int:
     return min(map(xxhash.xxh64_intdigest, runs)) >> 1
 
 
-def choose_terms(rows: list[tuple[str, int, int]], n_toxic: int, n_other: int) -> list[str]:
-    """From (term, toxic examples with it, others with it): the vocabulary, most telling first."""
-    kept = []
-    for term, a, b in rows:
-        odds = ((a + 0.5) / (n_toxic + 1)) / ((b + 0.5) / (n_other + 1))
-        if a >= LEAST_CASES and odds >= LEAST_ODDS:
-            kept.append((-math.log(odds) / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), term))
-    return [term for _, term in sorted(kept)[:VOCABULARY]]
+def hashes_of(word: str) -> list[int]:
+    return [xxhash.xxh64_intdigest(t) >> 1 for t in terms_of(word)]
+
+
+def telling(toxic: np.ndarray, others: np.ndarray, n_toxic: int, n_other: int) -> np.ndarray:
+    """Weight of each term from the toxic examples and the others that have it: ``LEAST_WEIGHT`` to 1."""
+    odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((others + 0.5) / (n_other + 1))
+    sure = (odds / np.sqrt(1 / (toxic + 0.5) + 1 / (others + 0.5)) - CERTAIN[0]) / (CERTAIN[1] - CERTAIN[0])
+    return LEAST_WEIGHT + (1 - LEAST_WEIGHT) * np.clip(odds / math.log(FULL_ODDS), 0, 1) * np.clip(sure, 0, 1)
 
 
 class Vectoriser:
-    """Text -> counts of vocabulary terms as {index: n}; remembers what the words it has seen hold."""
+    """Texts -> terms (places in the sorted hashes of the vocabulary) and counts; remembers what the words it has seen hold."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.index = {t: k for k, t in enumerate(vocabulary)}
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def holds(self, word: str) -> tuple[int, ...]:
-        found = tuple(self.index[t] for t in terms_of(word) if t in self.index)
+    def learn(self, words: list[str]) -> None:
+        if not len(self.vocabulary):
+            self.known.update(dict.fromkeys(words, ()))
+            return
+        hashes = [hashes_of(w) for w in words]
+        flat = np.array([h for hs in hashes for h in hs], dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
+        places, k = np.where(self.vocabulary[at] == flat, at, -1).tolist(), 0
+        for word, hs in zip(words, hashes, strict=True):
+            self.known[word] = tuple(p for p in places[k : k + len(hs)] if p >= 0)
+            k += len(hs)
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        words = _WORD.findall(text.lower())
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        self.known[word] = found
-        return found
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if new:
+            self.learn(new)
+        held = np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), dtype=np.int32)
+        return np.unique(held, return_counts=True)
+
+
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its end, one after another."""
+    sizes = ends - starts
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
-    def counts(self, text: str) -> dict[int, int]:
-        known, out = self.known, {}
-        for word in _WORD.findall(text.lower()):
-            held = known.get(word)
-            if held is None:
-                held = self.holds(word)
-            for k in held:
-                out[k] = out.get(k, 0) + 1
-        return dict(sorted(out.items()))
+
+class Postings:
+    """Per term, places (examples or blocks) and values: densely for common terms, as lists for the others.
+
+    ``places`` rise; of several values of a term at a place the largest counts.
+    """
+
+    def __init__(self, cols: np.ndarray, places: np.ndarray, vals: np.ndarray, n_terms: int, n_places: int, common: np.ndarray):
+        self.n_places = n_places
+        self.row = np.full(n_terms, -1, dtype=np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), n_places), dtype=np.float32)
+        # in parts, since what is in between would take more memory than the result
+        for k in range(0, len(cols), PART):
+            row, at = self.row[cols[k : k + PART]], slice(k, k + PART)
+            held = row >= 0
+            np.maximum.at(self.dense, (row[held], places[at][held]), vals[at][held].astype(np.float32))
+        counts = np.where(self.row < 0, np.bincount(cols, minlength=n_terms), 0)
+        limits = np.searchsorted(np.cumsum(counts), np.arange(PART, counts.sum() + PART, PART)) if n_terms else []
+        lists, sizes, low = [], np.zeros(n_terms + 1, dtype=np.int64), 0
+        for high in [*(int(x) + 1 for x in limits if x < n_terms), n_terms]:
+            inside = np.flatnonzero((cols >= low) & (cols < high))
+            inside = inside[self.row[cols[inside]] < 0]
+            inside = inside[np.argsort(cols[inside], kind="stable")]
+            low, term, place = high, cols[inside], places[inside]
+            first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+            if len(first):
+                lists.append((place[first], np.maximum.reduceat(vals[inside].astype(np.float32), first)))
+                sizes[1:] += np.bincount(term[first], minlength=n_terms)
+        self.places = np.concatenate([x for x, _ in lists] or [np.zeros(0)]).astype(np.int32)
+        self.vals = np.concatenate([x for _, x in lists] or [np.zeros(0)]).astype(np.float32)
+        self.starts = np.cumsum(sizes)
+
+    def sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Per query and place, the sum of weight times value."""
+        weights = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
+        for q, (terms, w) in enumerate(queries):
+            row = self.row[terms]
+            weights[q, row[row >= 0]] = w[row >= 0]
+        out = weights @ self.dense
+        for q, (terms, w) in enumerate(queries):
+            rare = self.row[terms] < 0
+            a, b = self.starts[terms[rare]], self.starts[terms[rare] + 1]
+            lists = [slice(*ends) for ends in zip(a.tolist(), b.tolist(), strict=True)]
+            if lists:
+                values = np.concatenate([self.vals[x] for x in lists]) * np.repeat(w[rare], b - a)
+                out[q] += np.bincount(np.concatenate([self.places[x] for x in lists]), values, self.n_places)
+        return out
 
 
 def tf_idf(terms, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and their weights of length 1; nothing for no terms."""
-    at = np.asarray(terms, dtype=np.int64)
+    at = np.asarray(terms, dtype=np.int32)
     weight = (1 + np.log(np.asarray(counts, dtype=float))) * idf[at]
     return at, weight / max(float(np.sqrt((weight**2).sum())), 1e-12)
 
@@ -107,42 +181,74 @@ class BlockMaxIndex:
     def __init__(self, examples, n_terms: int):
         merged: dict = {}
         for doc_id, terms, weights, mass, toxic in examples:
-            key = tuple(terms.tolist()), tuple(np.round(weights, 12).tolist())
+            key = xxhash.xxh128_digest(terms.tobytes() + np.round(weights, 12).tobytes())
             entry = merged.setdefault(key, [doc_id, terms, weights, 0.0, 0.0])
             entry[0] = min(entry[0], doc_id)
             entry[3] += mass
             entry[4] += toxic
         entries = sorted(merged.values(), key=lambda e: (int(e[1][e[2].argmax()]), e[0]))
+        del merged
         self.ids = np.array([e[0] for e in entries], dtype=np.int64)
         self.mass, self.toxic = (np.array([e[k] for e in entries]) for k in (3, 4))
-        n_blocks = -(-len(entries) // BLOCK)
-        rows = np.concatenate([np.full(len(e[1]), k) for k, e in enumerate(entries)] or [np.zeros(0, int)]).astype(np.int64)
-        cols = np.concatenate([e[1] for e in entries] or [np.zeros(0, np.int64)])
-        vals = np.concatenate([e[2] for e in entries] or [np.zeros(0)])
-        order = np.lexsort((rows, cols))
-        self.rows, self.vals = rows[order], vals[order]
-        self.starts = np.searchsorted(cols[order], np.arange(n_terms + 1))
-        self.most = np.zeros((n_terms, n_blocks), dtype=np.float64)
-        np.maximum.at(self.most, (cols, rows // BLOCK), vals)
+        self.n_blocks, self.query = -(-len(entries) // BLOCK), np.zeros(n_terms)
+        self.ends = np.cumsum([0, *(len(e[1]) for e in entries)])
+        rows = np.repeat(np.arange(len(entries), dtype=np.int32), np.diff(self.ends))
+        self.cols = np.concatenate([e[1] for e in entries] or [np.zeros(0)]).astype(np.int32, copy=False)
+        for e in entries:
+            e[1] = None
+        self.vals = np.concatenate([e[2] for e in entries] or [np.zeros(0)])
+        n = len(entries)
+        del entries
+        common = np.flatnonzero(np.bincount(self.cols, minlength=n_terms) >= max(2.0, DENSE_SHARE * n))
+        self.postings = Postings(self.cols, rows, self.vals, n_terms, n, common)
+        self.most = Postings(self.cols, rows // BLOCK, self.vals, n_terms, self.n_blocks, common)
+
+    def exact(self, terms: np.ndarray, weights: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """The cosines with these entries, in double precision."""
+        a, b = self.ends[entries], self.ends[entries + 1]
+        at = ranges(a, b)
+        self.query[terms] = weights
+        found = np.add.reduceat(self.query[self.cols[at]] * self.vals[at], np.cumsum(b - a) - (b - a))
+        self.query[terms] = 0
+        return found
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, entries: np.ndarray, k: int) -> list[tuple[float, int]]:
+        scores = zip(np.round(self.exact(terms, weights, entries), 12).tolist(), entries.tolist(), strict=True)
+        return sorted(((s, e) for s, e in scores if s > 0), key=lambda x: (-x[0], x[1]))[:k]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` entries of largest cosine above 0, as (cosine, entry); the smaller entry first where equal."""
-        if not len(terms) or not len(self.ids):
-            return []
-        bound = weights @ self.most[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < -best[-1][0] - 1e-9):
-                break
-            score = np.zeros(BLOCK)
-            for term, weight in zip(terms.tolist(), weights.tolist(), strict=True):
-                if self.most[term, block]:
-                    a, b = self.starts[term], self.starts[term + 1]
-                    lo, hi = a + np.searchsorted(self.rows[a:b], (block * BLOCK, (block + 1) * BLOCK))
-                    score[self.rows[lo:hi] - block * BLOCK] += weight * self.vals[lo:hi]
-            found = np.flatnonzero(score > 0)
-            best = sorted(best + [(-round(float(score[x]), 12), int(x + block * BLOCK)) for x in found])[:k]
-        return [(-s, e) for s, e in best]
+        return self.nearest_many([(terms, weights)], k)[0]
+
+    def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        out: list = [[] for _ in queries]
+        asked = [q for q, (terms, _) in enumerate(queries) if len(terms) and len(self.ids)]
+        if not asked:
+            return out
+        few = max(1, self.n_blocks // 64)
+        top = lambda w: float((np.partition(w, -HEAVY)[-HEAVY:] ** 2).sum()) if len(w) > HEAVY else 1.0
+        tried = [q for q in asked if top(queries[q][1]) >= 0.5]
+        whole = [q for q in asked if q not in set(tried)]
+        for q, bound in zip(tried, self.most.sums([queries[q] for q in tried]), strict=True):
+            bound *= 1 + ROUNDING
+            first = np.argsort(-bound, kind="stable")[:few]
+            found = self.best(*queries[q], self._entries(first), k)
+            left = np.setdiff1d(np.flatnonzero(bound >= (found[-1][0] - 1e-9 if len(found) == k else 0)), first)
+            if len(left) > few:
+                whole.append(q)
+            else:
+                more = self.best(*queries[q], self._entries(left), k) if len(left) else []
+                out[q] = sorted(found + more, key=lambda x: (-x[0], x[1]))[:k]
+        for q, scores in zip(whole, self.postings.sums([queries[q] for q in whole]), strict=True):
+            least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+            # what is 0 shares no term
+            near = np.flatnonzero((scores >= least * (1 - ROUNDING)) & (scores > 0))
+            out[q] = self.best(*queries[q], near, k) if len(near) else []
+        return out
+
+    def _entries(self, blocks: np.ndarray) -> np.ndarray:
+        entries = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        return entries[entries < len(self.ids)]
 
     def vote(self, neighbours: list[tuple[float, int]], base: float) -> float:
         """Toxic share of the neighbours, weighted by cosine and mass, with the base rate as one more voter."""
@@ -172,15 +278,23 @@ def calibration(votes: np.ndarray, toxic: np.ndarray, mass: np.ndarray) -> list[
 
 @dataclass
 class ToxicityModel:
-    idf: np.ndarray
+    weights: np.ndarray
     index: BlockMaxIndex
     base: float
     steps: list[tuple[float, float, float]]
 
-    def judge(self, terms: list[int], counts: list[int]) -> tuple[float, list[int]]:
-        """Score and the ids of the neighbours that speak for it, nearest first."""
-        found = self.index.nearest(*tf_idf(terms, counts, self.idf), NEIGHBOURS)
-        return self.calibrated(self.index.vote(found, self.base)), [int(self.index.ids[e]) for _, e in found]
+    def judge_many(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int]]]:
+        """Score and the ids of the neighbours that speak for it, nearest first, of each of (terms, counts)."""
+        found = self.index.nearest_many([tf_idf(t, c, self.weights) for t, c in vectors], NEIGHBOURS)
+        return [(self.calibrated(self.index.vote(n, self.base)), [int(self.index.ids[e]) for _, e in n]) for n in found]
+
+    def votes(self, examples: list[tuple[int, int, bytes]]) -> list[float]:
+        """The votes on packed examples."""
+        out: list[float] = []
+        for k in range(0, len(examples), SLICE_ROWS):
+            queries = [tf_idf(t, c, self.weights) for _, _, t, c in unpacked(examples[k : k + SLICE_ROWS])]
+            out += [self.index.vote(near, self.base) for near in self.index.nearest_many(queries, NEIGHBOURS)]
+        return out
 
     def calibrated(self, vote: float) -> float:
         """Probability of a vote. Between two steps it rises slowly at first, since few examples have such votes and the
@@ -218,8 +332,9 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, learn, text: str = "text",
     """doc_id, score (0 to 1), neighbours (ids of the nearest examples, nearest first) of each row of ``docs``.
 
     ``learn`` is the condition on ``labels`` that says which rows may be learnt from. At most ``examples`` of each class
-    are; document frequencies come from all of ``docs``. A score depends on the text alone: equal texts score alike, and
-    texts without a vocabulary term, null and empty ones too, get what the calibration gives for no neighbour.
+    are; all their terms count, and document frequencies come from all of ``docs``. A score depends on the text alone:
+    equal texts score alike, and texts without a term of the examples, null and empty ones too, get what the calibration
+    gives for no neighbour.
     """
     # the sample is at most 2 * examples short rows, small enough to broadcast
     chosen, stands_for = sampled_labels(labelled(labels, learn), examples)
@@ -230,79 +345,157 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, learn, text: str = "text",
             out = []
             for t in texts:
                 string = t.decode() if t else ""
-                out.append({"terms": sorted({x for w in words_of(string) for x in terms_of(w)}), "sketch": sketch(string)})
-            return pa.array(out, pa.struct([("terms", pa.list_(pa.string())), ("sketch", pa.int64())]))
+                counted: dict[int, int] = {}
+                for w, n in words_of(string).items():
+                    for h in hashes_of(w):
+                        counted[h] = counted.get(h, 0) + n
+                terms = sorted(counted)
+                out.append({"terms": terms, "counts": [counted[h] for h in terms], "sketch": sketch(string)})
+            kind = [("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())), ("sketch", pa.int64())]
+            return pa.array(out, pa.struct(kind))
 
         return run
 
     source = docs.select("doc_id", F.col(text).alias("text"))
     samples = source.join(F.broadcast(chosen), "doc_id")
-    told = samples.select("toxic", text_function(make_terms, "terms array<string>, sketch long")("text").alias("x"))
-    told = written(told.select("toxic", "x.*").dropDuplicates(["toxic", "sketch"]), "toxic-terms")
-    n = {r[0]: r[1] for r in told.groupBy("toxic").count().collect()}
-    cases = (
-        told.select("toxic", F.explode("terms").alias("term"))
+    kind = "terms array<long>, counts array<int>, sketch long"
+    told = samples.select("doc_id", "toxic", text_function(make_terms, kind)("text").alias("x"))
+    told = written(told.select("doc_id", "toxic", "x.*"), "toxic-terms")
+    # of near copies one counts as a case, at most one row for each example
+    cases = written(told.groupBy("toxic", "sketch").agg(F.min("doc_id").alias("doc_id")).withColumn("case", F.lit(1)), "toxic-cases")
+    n = {r[0]: r[1] for r in cases.groupBy("toxic").count().collect()}
+    held = (
+        told.join(F.broadcast(cases), ["toxic", "sketch", "doc_id"], "left")
+        .select((F.col("toxic") * F.col("case")).alias("a"), ((1 - F.col("toxic")) * F.col("case")).alias("b"), F.explode("terms").alias("term"))
         .groupBy("term")
-        .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        .filter(F.col("a") >= LEAST_CASES)
-        .filter((F.col("a") + 0.5) / (n.get(1, 0) + 1) >= LEAST_ODDS * (F.col("b") + 0.5) / (n.get(0, 0) + 1))
+        .agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+        .toArrow()
     )
-    # by cases first, so that what reaches the driver is bounded too
-    telling = cases.orderBy(F.desc("a"), "b", "term").limit(20 * VOCABULARY)
-    vocabulary = choose_terms([(r.term, r.a, r.b) for r in telling.collect()], n.get(1, 0), n.get(0, 0))
-
-    def make_counts():
-        vectors = Vectoriser(vocabulary)
+    hashes, a, b = (held[c].to_numpy() for c in ("term", "a", "b"))
+    order = np.argsort(hashes)
+    vocabulary, weight = hashes[order], telling(a[order], b[order], n.get(1, 0), n.get(0, 0))
+    del held, hashes, a, b, order
+    # a task has one core, and threads that wait for others burn theirs
+    docs.sparkSession.sparkContext.environment["OPENBLAS_NUM_THREADS"] = "1"
+    token, broadcast = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast
+    words = broadcast(zlib.compress(vocabulary.tobytes(), 1))
+
+    def make_vectors():
+        vectors = held_by_worker((token, "words"), lambda: Vectoriser(np.frombuffer(zlib.decompress(words.value), dtype=np.int64)))
 
         def run(texts):
-            found = [vectors.counts(t.decode()) if t else {} for t in texts]
-            kind = pa.struct([("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-            return pa.array([{"terms": list(f), "counts": list(f.values())} for f in found], kind)
+            found = [vectors.counts(t.decode()) if t else NO_TERMS for t in texts]
+            out = [{"terms": t.astype(np.int32).tobytes(), "counts": c.astype(np.int32).tobytes()} for t, c in found]
+            return pa.array(out, pa.struct([("terms", pa.binary()), ("counts", pa.binary())]))
 
         return run
 
-    counted = source.select("doc_id", text_function(make_counts, "terms array<int>, counts array<int>")("text").alias("v"))
-    vectors = written(counted.select("doc_id", "v.*"), "toxic-vectors")
-    model = fit(vectors, chosen, stands_for, len(vocabulary))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    vectors = source.select("doc_id", text_function(make_vectors, "terms binary, counts binary")("text").alias("v"))
+    vectors, path = vectors.select("doc_id", "v.*"), work_folder(docs.sparkSession, "toxic-vectors")
+    vectors.write.option("compression", "zstd").parquet(path)
+    vectors = docs.sparkSession.read.schema(vectors.schema).parquet(path)
+    n_terms = len(vocabulary)
+
+    def document_frequencies(batches):
+        """Per task, the rows (as term -1) and how many of them have each term."""
+        seen, rows = np.zeros(n_terms, dtype=np.int64), 0
+        for batch in batches:
+            rows += len(batch)
+            for k in range(0, len(batch), SLICE_ROWS):
+                terms = b"".join(batch.column(0).slice(k, SLICE_ROWS).to_pylist())
+                seen += np.bincount(np.frombuffer(terms, dtype=np.int32), minlength=n_terms)
+        some = np.flatnonzero(seen)
+        yield pa.record_batch({"term": np.append(some, -1).astype(np.int32), "n": np.append(seen[some], rows)})
+
+    per_task = vectors.select("terms").mapInArrow(document_frequencies, "term int, n long")
+    frequency = per_task.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    weight *= inverse_frequencies(frequency["term"].to_numpy(), frequency["n"].to_numpy(), n_terms)
+    learnt, aside, base = split(told, vocabulary, stands_for)
+    shared = broadcast((learnt, aside, zlib.compress(weight.tobytes(), 1)))
+
+    def build():
+        examples, _, weights = shared.value
+        weights = np.frombuffer(zlib.decompress(weights))
+        return ToxicityModel(weights, index_of(unpacked(examples), weights, stands_for), base, [])
+
+    @F.arrow_udf("double")
+    def vote(places: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, left_out = held_by_worker((token, "model"), build), shared.value[1]
+        for batch in places:
+            yield pa.array(model.votes([left_out[k] for k in batch.to_pylist()]), pa.float64())
+
+    places = docs.sparkSession.range(len(aside)).select("id", vote.asNondeterministic()("id").alias("vote"))
+    votes = {r.id: r.vote for r in places.collect()}
+    toxic = np.array([r[1] for r in aside], dtype=float)
+    mass = np.array([stands_for[r[1]] for r in aside], dtype=float)
+    steps = calibration(np.array([votes[k] for k in range(len(aside))], dtype=float), toxic, mass)
 
     @F.arrow_udf("score double, neighbours array<long>")
-    def judge(terms: pa.Array, counts: pa.Array) -> pa.Array:
-        known, out = {}, []
-        for t, c in zip(terms.to_pylist(), counts.to_pylist(), strict=True):
-            key = tuple(t), tuple(c)
-            if key not in known:
-                known[key] = shared.value.judge(t, c)
-            score, near = known[key]
-            out.append({"score": score, "neighbours": near})
-        return pa.array(out, pa.struct([("score", pa.float64()), ("neighbours", pa.list_(pa.int64()))]))
+    def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model = held_by_worker((token, "model"), build)
+        model.steps = steps
+        for terms, counts in batches:
+            out = []
+            for k in range(0, len(terms), SLICE_ROWS):
+                keys = list(zip(*(x.slice(k, SLICE_ROWS).to_pylist() for x in (terms, counts)), strict=True))
+                known = list(dict.fromkeys(keys))
+                judged = dict(zip(known, model.judge_many([tuple(np.frombuffer(x, np.int32) for x in v) for v in known]), strict=True))
+                out += [dict(zip(("score", "neighbours"), judged[key], strict=True)) for key in keys]
+            yield pa.array(out, pa.struct([("score", pa.float64()), ("neighbours", pa.list_(pa.int64()))]))
 
     return vectors.select("doc_id", judge.asNondeterministic()("terms", "counts").alias("j")).select("doc_id", "j.*")
 
 
-def fit(vectors: DataFrame, chosen: DataFrame, stands_for: dict[int, float], n_terms: int) -> ToxicityModel:
-    """Document frequencies over all rows, the index over four fifths of the examples, the calibration on the rest."""
-    total = vectors.count()
-    seen = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect()
+_held: dict = {}
+
+
+def held_by_worker(key: tuple[str, str], make):
+    """What ``make`` gives, once for all tasks in a row that a worker process runs with it; only one such thing is held."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def inverse_frequencies(terms: np.ndarray, n: np.ndarray, n_terms: int) -> np.ndarray:
+    """IDF of each term from how many rows have it; term -1 has the number of rows."""
     frequency = np.zeros(n_terms)
-    for row in seen:
-        frequency[row[0]] = row[1]
-    idf = np.log((1 + total) / (1 + frequency)) + 1
-    rows = vectors.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    mass = {c: stands_for[c] for c in (0, 1)}
-    weight = sum(mass[r.toxic] for r in rows)
-    base = sum(mass[1] for r in rows if r.toxic == 1) / weight if weight else 0.0
-    held = [k % CALIBRATE_EVERY == 0 for k in range(len(rows))]
-    entries = []
-    for r, aside in zip(rows, held, strict=True):
-        if not aside and r.terms:
-            entries.append((r.doc_id, *tf_idf(r.terms, r.counts, idf), mass[r.toxic], mass[r.toxic] * r.toxic))
-    model = ToxicityModel(idf, BlockMaxIndex(entries, n_terms), base, [])
-    aside = [r for r, a in zip(rows, held, strict=True) if a]
-    votes = [
-        model.index.vote(model.index.nearest(*tf_idf(r.terms, r.counts, idf), NEIGHBOURS), base) for r in aside
-    ]
-    model.steps = calibration(
-        np.array(votes, dtype=float), np.array([r.toxic for r in aside], dtype=float), np.array([mass[r.toxic] for r in aside])
-    )
-    return model
+    frequency[terms[terms >= 0]] = n[terms >= 0]
+    return np.log((1 + n[terms < 0].sum()) / (1 + frequency)) + 1
+
+
+def unpacked(examples: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(doc_id, toxic, terms, counts) of each example."""
+    for doc_id, toxic, both in examples:
+        steps, counts = np.frombuffer(zlib.decompress(both), dtype=np.int32).reshape(2, -1)
+        yield doc_id, toxic, np.cumsum(steps, dtype=np.int32), counts
+
+
+def index_of(examples, weight: np.ndarray, mass: dict[int, float]) -> BlockMaxIndex:
+    entries = ((i, *tf_idf(t, c, weight), mass[toxic], mass[toxic] * toxic) for i, toxic, t, c in examples if len(t))
+    return BlockMaxIndex(entries, len(weight))
+
+
+def split(told: DataFrame, vocabulary: np.ndarray, stands_for: dict[int, float]):
+    """The examples of the index (four fifths of all), those for the calibration, and the base rate. The driver holds
+    the examples packed."""
+    rows = []
+    packed = told.select("doc_id", "toxic", "terms", "counts", F.xxhash64("doc_id").alias("place"))
+    for r in packed.mapInArrow(_pack, "doc_id long, toxic int, place long, terms binary, counts binary").toLocalIterator():
+        terms = np.searchsorted(vocabulary, np.frombuffer(r.terms, dtype=np.int64)).astype(np.int32)
+        both = zlib.compress(np.diff(terms, prepend=np.int32(0)).tobytes() + bytes(r.counts), 1)
+        rows.append((r.place, r.doc_id, r.toxic, both))
+    rows = [r[1:] for r in sorted(rows)]
+    total = sum(stands_for[toxic] for _, toxic, _ in rows)
+    base = sum(stands_for[1] for _, toxic, _ in rows if toxic == 1) / total if total else 0.0
+    return [r for k, r in enumerate(rows) if k % CALIBRATE_EVERY], rows[::CALIBRATE_EVERY], base
+
+
+def _pack(batches):
+    """Lists of numbers as bytes, which the driver need not hold as objects."""
+    for batch in batches:
+        columns = {name: batch.column(name) for name in ("doc_id", "toxic", "place")}
+        for name, kind in (("terms", np.int64), ("counts", np.int32)):
+            lists = [np.asarray(x.values, dtype=kind).tobytes() for x in batch.column(name)]
+            columns[name] = pa.array(lists, pa.binary())
+        yield pa.record_batch(columns)

@@ -99,3 +99,47 @@ def test_empty_tables(spark, docs_of):
     assert toxicity.with_toxicity(docs_of([]), labels, learn()).count() == 0
     rows = toxicity.with_toxicity(docs_of([(1, "a b")]), labels, learn()).collect()
     assert [(r.doc_id, r.score) for r in rows] == [(1, 0.0)]
+
+
+def test_neighbours_are_those_of_all_terms(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATE_EVERY", 10**9)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    texts = {k: " ".join(rng.choices(words, k=rng.randint(5, 40))) for k in range(300)}
+    # two toxic examples of rare words, and a near copy of each that is not labelled
+    texts |= {300: "quite unlike anything else zxcv qwer", 301: "rare mean wording uiop asdf"}
+    texts |= {400: texts[300] + " indeed", 401: "Rare, mean wording: uiop asdf"}
+    labels = spark.createDataFrame([(k, 1, int(k >= 300)) for k in range(302)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in toxicity.with_toxicity(docs_of([*texts.items()]), labels, F.lit(True)).collect()}
+    terms = {k: [h for w in toxicity._WORD.findall(t.lower()) for h in toxicity.terms_of(w)] for k, t in texts.items()}
+    known = {h for k in range(302) for h in terms[k]}
+    cases = [{h: sum(h in terms[k] for k in range(302) if (k >= 300) == c) for h in known} for c in (False, True)]
+    idf = {h: np.log((1 + len(texts)) / (1 + sum(h in t for t in terms.values()))) + 1 for h in known}
+    weight = {h: float(toxicity.telling(np.array([cases[1][h]]), np.array([cases[0][h]]), 2, 300)[0]) * idf[h] for h in known}
+
+    def vector(k):
+        v = {h: (1 + np.log(terms[k].count(h))) * weight[h] for h in set(terms[k]) & known}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {h: x / length for h, x in v.items()}
+
+    vectors = {k: vector(k) for k in texts}
+    first = min(range(302), key=lambda k: spark.range(k, k + 1).select(F.xxhash64("id")).first()[0])  # set aside
+    cosine = lambda a, b: sum(x * vectors[b].get(h, 0.0) for h, x in vectors[a].items())
+    for k in [*range(0, 300, 30), 300, 301, 400, 401]:
+        sims = {e: round(cosine(k, e), 9) for e in range(302) if e != first}
+        expected = sorted((s for s in sims.values() if s > 0), reverse=True)[: toxicity.NEIGHBOURS]
+        assert [sims[e] for e in out[k].neighbours] == expected
+    assert out[400].neighbours[0] == 300 and out[401].neighbours[0] == 301
+
+
+def test_batches_of_queries_agree_with_single_ones(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    rng = np.random.default_rng(2)
+    vector = lambda: toxicity.tf_idf(np.sort(rng.choice(500, rng.integers(1, 30), replace=False)), 1, np.linspace(0.01, 3, 500) ** 3)
+    examples = [(k, *vector(), 1.0, 0.0) for k in range(400)]
+    index = toxicity.BlockMaxIndex(examples, 500)
+    queries = [vector() for _ in range(50)] + [examples[k][1:3] for k in range(50)] + [toxicity.tf_idf([], [], np.ones(1))]
+    many = index.nearest_many(queries, 5)
+    assert many == [index.nearest(*q, 5) for q in queries]
+    for q, near in zip(queries, many, strict=True):
+        assert [s for s, _ in near] == pytest.approx(brute_force(examples, *q, 5), abs=1e-9)
