@@ -25,7 +25,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: A candidate for the models: a run of these, at least ``CANDIDATE`` long, with a digit and a letter in it.
+#: A candidate for the models: a run of these, at least ``CANDIDATE`` long, with a letter in it.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
 CANDIDATE = 20
 #: Nats per transition by which the random chain must be the likelier one.
@@ -120,30 +120,46 @@ def log_ratio(random: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
 
 
 def is_random(run: str, ratio: np.ndarray) -> bool:
-    if len(run) < CANDIDATE or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+    if len(run) < CANDIDATE or not re.search("[A-Za-z]", run):
         return False
     states = _STATES[np.frombuffer(run.encode(), dtype=np.uint8)]
     return bool(ratio[states[:-1], states[1:]].mean() > MARGIN)
 
 
+def pieces(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of a to b lies outside the spans."""
+    out = []
+    for start, end in sorted(spans):
+        if start > a:
+            out.append((a, min(start, b)))
+        a = max(a, end)
+    return out + [(a, b)] * (a < b)
+
+
 def all_spans(text: bytes | None, ratio: np.ndarray) -> list[tuple[int, int, int]]:
-    """Base spans, and runs beside them that the models call random, as (start, kind, end) in order."""
+    """Base spans, and runs that the models call random, as (start, kind, end) in order. A run that is more than its base
+    spans is judged whole, and if it is not random, by what lies outside them; spans may overlap."""
     if not text:
         return []
     found = base_spans(text)
     if b"x" * CANDIDATE in text.translate(_LONG_RUN):
         string, base, k = text.decode(), found, 0
-        reach = -1
+        inside: list[tuple[int, int]] = []
         more = []
         for m in RUN.finditer(string):
             a, b = m.span()
             if b - a < CANDIDATE:
                 continue
+            inside = [x for x in inside if x[1] > a]
             while k < len(base) and base[k][0] < b:
-                reach = max(reach, base[k][2])
+                if base[k][2] > a:
+                    inside.append((base[k][0], base[k][2]))
                 k += 1
-            if a >= reach and is_random(m[0], ratio):
+            left = pieces(a, b, inside)
+            if left and is_random(m[0], ratio):
                 more.append((a, 3, b))
+            elif left != [(a, b)]:
+                more += [(c, 3, d) for c, d in left if is_random(string[c:d], ratio)]
         found = sorted(base + more)
     return found
 
