@@ -211,6 +211,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and wordless texts have fingerprint 0 and link like any other. Rows with the same id stay apart. The
     component is null only where no row of it has an id. Other columns of ``docs`` are not read.
     """
+    return _rooted(docs, doc_id, text, shingle, radius).drop("root")
+
+
+def _rooted(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int) -> DataFrame:
+    """As :func:`near_duplicates`, with the ``root`` that tells components of the same smallest id apart."""
     # docs -> one short row each, written, so that the texts are read and hashed once
     hashed = written(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(shingle)(text).alias("fp")), "prints")
     nodes = written(hashed.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
@@ -219,25 +224,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "fp", "first", "n", F.coalesce("root", "fp").alias("root")
     )
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    per_print = rooted.join(smallest, "root").select("fp", "n", "component")
-    return spread_lookup(hashed, per_print, "fp", "n").select("doc_id", "fp", "component")
+    per_print = rooted.join(smallest, "root").select("fp", "n", "component", "root")
+    return spread_lookup(hashed, per_print, "fp", "n").select("doc_id", "fp", "component", "root")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, shingle: int, radius: int) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id, any one of it where the row is repeated.
 
-    Of components without any id one row per fingerprint stays.
+    Where one id stands on different texts, each component keeps its own. Of components without any id one row per
+    fingerprint stays.
     """
-    found = near_duplicates(docs, doc_id, text, shingle=shingle, radius=radius)
-    kept = found.filter("doc_id = component").select(F.col("doc_id").alias(doc_id)).distinct()
+    found = written(_rooted(docs, doc_id, text, shingle, radius), "groups")
+    kept = found.filter("doc_id = component").groupBy("root").agg(F.min("doc_id").alias("id"), F.min("fp").alias("kept_fp"))
+    # only the texts of these ids need their fingerprint again to tell which of them stays
+    shared = found.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+    shared = shared.filter("a <> b").select(F.col("doc_id").alias("id"))
     fp = free_name(docs, "fp")
-    nameless = docs.filter(F.col(doc_id).isNull()).withColumn(fp, _fingerprints(shingle)(text))
+    printed = lambda rows: rows.withColumn(fp, _fingerprints(shingle)(text))
+    named = kept.join(shared, "id", "left_anti").select(F.col("id").alias(doc_id))
+    several = printed(docs.join(shared.select(F.col("id").alias(doc_id)), doc_id, "left_semi"))
+    chosen = kept.join(shared, "id", "left_semi").select(F.col("id").alias(doc_id), F.col("kept_fp").alias(fp))
     lone = found.filter("component is null").select(F.col("fp").alias(fp)).distinct()
+    nameless = printed(docs.filter(F.col(doc_id).isNull())).join(lone, fp, "left_semi").dropDuplicates([fp])
     return (
-        docs.join(kept, doc_id, "left_semi")
+        docs.join(named, doc_id, "left_semi")
         .dropDuplicates([doc_id])
         .select(docs.columns)
-        .unionByName(nameless.join(lone, fp, "left_semi").dropDuplicates([fp]).select(docs.columns))
+        .unionByName(several.join(chosen, [doc_id, fp], "left_semi").dropDuplicates([doc_id, fp]).select(docs.columns))
+        .unionByName(nameless.select(docs.columns))
     )
 
 

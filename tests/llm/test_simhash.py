@@ -123,3 +123,10 @@ def test_hot_keys_are_spread_without_loss(spark, monkeypatch):
     values = rows.groupBy("fp").count().withColumnRenamed("count", "n").selectExpr("fp", "n", "fp * 10 as v")
     joined = spread_lookup(rows, values, "fp", "n")
     assert sorted((r.doc_id, r.v) for r in joined.collect()) == sorted((r.doc_id, r.fp * 10) for r in rows.collect())
+
+
+def test_one_id_on_two_texts_keeps_a_row_of_each_component(spark, docs_of):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(400)) for x in "abc")
+    pairs = [(1, a), (1, b), (2, a), (3, b), (1, b), (2, c), (4, c)]
+    rows = simhash.keep_one(docs_of(pairs), shingle=4, radius=4).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, a), (1, b), (2, c)]
