@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from snapfold.llm import (
     bpe,
+    chat,
     decontaminate,
     language,
     licenses,
@@ -121,6 +122,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Two turns whose texts are control strings, formatted with every table of conversations.
+OWN_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame(OWN_CONVERSATION, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_trees(chat.chains(given.unionByName(own))))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -132,6 +143,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_chat_format": op11_chat_format,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
