@@ -14,8 +14,10 @@ from snapfold.llm import (
     language,
     licenses,
     quality_rules,
+    search,
     secrets,
     simhash,
+    spelling,
     token_counts,
     toxicity,
     weak_labels,
@@ -132,6 +134,15 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_trees(chat.chains(given.unionByName(own))))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.with_ranks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.with_forms(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -144,6 +155,8 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
     "op11_chat_format": op11_chat_format,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -185,6 +198,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
 FROM b"""
 
+_OP12_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, t FROM (
+  SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark)),
+x AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM d)
+      WHERE t IN (SELECT t FROM i) GROUP BY doc_id, n, t),
+f AS (SELECT t, count(*) AS df FROM x GROUP BY t),
+p AS (SELECT item_id, doc_id, (floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+  * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS part
+  FROM i JOIN x USING (t) JOIN f USING (t), s),
+r AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM p GROUP BY item_id, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM r WHERE score > 0)
+SELECT item_id, k::INT AS rank, doc_id, score FROM o WHERE k <= {search.TOP}"""
+
 
 def _values(pairs) -> str:
     return ", ".join(f"('{a}', '{b}')" for a, b in pairs)
@@ -209,4 +237,5 @@ ORACLES: dict[str, str] = {
     "op2_decontamination": _OP2_SQL,
     "op8_license_scan": _OP8_SQL,
     "op9_quality_rules": _OP9_SQL,
+    "op12_lexical_search": _OP12_SQL,
 }
