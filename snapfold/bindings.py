@@ -311,3 +311,49 @@ def text_exports(spark: SparkSession, sf_dir: str, folder: str) -> str:
     placed = text.repartition("file").sortWithinPartitions("file", "line_no")
     placed.drop("line_no").write.partitionBy("file").text(folder)
     return folder
+
+
+# The sixteen labels of a full export, by position of its columns.
+EXPORT_LABELS = (
+    *schema.HEADER_LABELS["English"], "Opportunity Number", "Indirect Account", "End Customer", "Estimated Total Price",
+    "Sales Model Name", "Part Number", "Estimated Quantity", "Sales Price", "Account Name", "Product Line", "Deal Type",
+    "Win Rate",
+)
+
+
+def opportunity_exports(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """The opportunity view as exports, one file per supplier, with what goes wrong in such files.
+
+    A file starts with ``suppkey % 5`` notices, the second of which breaks its line; every 7th has no header but the
+    lines the fallback skips. By order number a fortieth of the records each: ends early, has a cell too many, has an
+    unreadable date, an unreadable quantity, a line break inside the account. A blank line and a footer end the file.
+    """
+    rows = opps(spark, sf_dir, *schema.RAW_COLUMNS, also=("l_orderkey", "l_linenumber", "l_suppkey"))
+    odd = lambda k: F.col("l_orderkey") % 40 == k
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in schema.RAW_COLUMNS}
+    text |= {c: F.date_format(c, "M/d/yyyy") for c in schema.DATE_COLUMNS}
+    text["created"] = F.when(odd(7), F.lit("some day")).otherwise(text["created"])
+    text["qty"] = F.when(odd(9), F.lit("n/a")).otherwise(text["qty"])
+    text["account"] = F.when(odd(11), F.concat(text["account"], F.lit('\nof "two" lines, '))).otherwise(text["account"])
+    cells = F.array(*text.values())
+    cells = F.when(odd(3), F.slice(cells, 1, 9)).when(odd(5), F.concat(cells, F.array(F.lit("beyond")))).otherwise(cells)
+    body = rows.select("l_suppkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber") + 100).alias("place"), cells.alias("cells"))
+    named = F.col("s_suppkey") % 7 != 0
+    label = F.array(*(F.lit(v) for v in EXPORT_LABELS))
+    skipped = F.array_repeat(F.array(F.lit("Warning"), F.lit("line\nbreak")), schema.HEADER_DEFAULT_SKIP + 1)
+    notices = F.transform(
+        F.filter(F.sequence(F.lit(0), (F.col("s_suppkey") % 5).cast("int")), lambda i: i > 0),
+        lambda i: F.array(F.lit("Warning"), F.when(i == 2, F.lit("line\nbreak")).otherwise(F.lit("first rows"))))
+    top = F.when(named, F.concat(notices, F.array(label))).otherwise(skipped)
+    suppliers = table(spark, sf_dir, "supplier")
+    head = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.posexplode(top).alias("place", "cells"))
+    end = F.array(F.array(F.lit("")), F.array(F.lit(schema.FOOTER_OWNERS[0]), F.lit("")))
+    foot = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.posexplode(end).alias("place", "cells"))
+    lines = head.unionByName(body).unionByName(foot.withColumn("place", F.col("place") + (1 << 60)))
+    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    blank = (F.size("cells") == 1) & (F.get("cells", F.lit(0)) == "")
+    value = F.when(blank, F.lit("")).otherwise(F.array_join(F.transform("cells", quote), ","))
+    file = F.concat(F.lit("export-"), F.col("l_suppkey").cast("string"))
+    placed = lines.select(file.alias("file"), "place", value.alias("value")).repartition("file").sortWithinPartitions("file", "place")
+    placed.drop("place").write.option("lineSep", "\n").partitionBy("file").text(folder)
+    return folder

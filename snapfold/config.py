@@ -17,6 +17,10 @@ class Config:
     header_fallback: int = 0
     header_scan_rows: int = 30
     date_formats: tuple[str, ...] = MONTH_FIRST_FORMATS
+    # A record whose number or date cannot be read is taken with an empty cell, and reported; True sets it aside.
+    reject_unreadable: bool = False
+    # A run stops at a file of which a larger share of records is set aside.
+    max_rejected_share: float = 0.5
 
     excluded_owners: tuple[str, ...] = ()
     excluded_tracking_owners: tuple[str, ...] = ()
@@ -39,5 +43,7 @@ class Config:
             raise ValueError(f"rolling_field must be 'date' or 'wk', not {self.rolling_field!r}")
         if self.rolling_window < 1 or self.detail_weeks < 1:
             raise ValueError("rolling_window and detail_weeks must be at least 1")
+        if not 0 <= self.max_rejected_share <= 1:
+            raise ValueError("max_rejected_share must lie between 0 and 1")
         if self.current_week is not None and not 1 <= self.current_week <= 53:
             raise ValueError("current_week must lie between 1 and 53")

@@ -142,6 +142,25 @@ def with_key(df: DataFrame) -> DataFrame:
     return df.withColumns(blank).withColumn("key", x.composite_key("opty", "model"))
 
 
+#: What may drop a row, in the order the filters of :func:`clean` look at it.
+DROP_REASONS = ("footer", "incomplete", "excluded", "small_generic", "product_line")
+
+
+def drop_reason(config: Config = Config()) -> Column:
+    """The first filter of :func:`clean` that drops a row, null where it stays."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    excluded = text("owner").isin(*config.excluded_owners) if config.excluded_owners else F.lit(False)
+    small = F.col("total_price").isNull() | (F.col("total_price") < schema.GENERIC_MIN_TOTAL)
+    tests = (
+        text("owner").isin(*schema.FOOTER_OWNERS),
+        F.col("owner").isNull() | F.col("customer").isNull(),
+        excluded,
+        is_generic() & small,
+        text("product_line").isin(*schema.EXCLUDED_PRODUCT_LINES),
+    )
+    return F.coalesce(*(F.when(test, reason) for reason, test in zip(DROP_REASONS, tests, strict=True)))
+
+
 def clean(df: DataFrame, config: Config = Config()) -> DataFrame:
     """All row filters of the main update, then the key."""
     steps = (

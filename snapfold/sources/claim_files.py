@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snapfold.functions import scalars as x
 from snapfold.operators.claims import ClaimProfile, claims_ingest
 from snapfold.sources import exports
+from snapfold.sources.records import read_records
 
 # Fixed value: order of a profile's columns.
 _DATE, _QUOTE, _QTY, _VALUE, _PART = range(5)
@@ -22,8 +23,8 @@ def month_glob(template: str, year: int) -> str:
 def read_claim_files(spark: SparkSession, folder: str, template: str, year: int, profile: ClaimProfile,
                      date_formats, separator: str = ",") -> DataFrame:
     """Typed claims of one distributor under its own column names; absent months are skipped."""
-    files = exports.read_files(spark, folder, month_glob(template, year))
-    rows = exports.rows_below_header(files, separator=separator, header_at=profile.skip)
+    records = read_records(spark, folder, month_glob(template, year), separator)
+    rows = exports.rows_below_header(records, separator=separator, header_at=profile.skip)
 
     def cell(name):
         place = F.array_position("header", F.lit(name)).cast("int")

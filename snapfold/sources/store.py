@@ -55,3 +55,20 @@ class Store:
 
     def read(self, name: str, version: str) -> DataFrame:
         return self.spark.read.parquet(self._path(name, version))
+
+    def read_all(self, name: str, upto: str | None = None) -> DataFrame:
+        """What all committed versions of a table hold together, up to ``upto`` where given: one table partitioned by version.
+
+        For tables to which every version adds. Versions that were never committed are left out.
+        """
+        runs = self.versions()
+        if upto is not None:
+            place = runs.filter(F.col("version") == upto).agg(F.min("n")).scalar()
+            runs = runs.filter(F.col("n") <= place)
+        last = upto or self.latest()
+        if last is None:
+            raise LookupError(f"no version of {name} is committed")
+        # the layout is given, so that version names stay text
+        layout = self.read(name, last).schema.add("version", "string")
+        whole = self.spark.read.schema(layout).parquet(f"{self.root}/{name}")
+        return whole.join(runs.select("version"), "version", "left_semi").drop("version")

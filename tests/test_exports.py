@@ -1,4 +1,6 @@
 import os
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -7,6 +9,7 @@ from conftest import rows
 from snapfold import schema
 from snapfold.config import Config
 from snapfold.sources import exports
+from snapfold.sources.records import read_records
 
 ENGLISH = ["Opportunity Owner", "Created Date", "Close Date", "Stage", "Opportunity Number", "Indirect Account",
            "End Customer", "Estimated Total Price", "Sales Model Name", "Part Number", "Estimated Quantity",
@@ -107,8 +110,8 @@ def test_any_number_of_columns(spark, tmp_path):
     cells = [*record()[:13], *["x"] * 60, *record()[13:]]
     write(tmp_path, "a.csv", header=header, records=[cells, [*cells, "beyond", "beyond"]])
     got = exports.load_export(spark, str(tmp_path)).filter("owner = 'A'").collect()
-    assert [(r["product_line"], r["deal_type"], r["win_rate"]) for r in got] == [("NB", "Project", "50%")] * 2
-    below = exports.rows_below_header(exports.read_files(spark, str(tmp_path)))
+    assert [(r["product_line"], r["deal_type"], r["win_rate"]) for r in got] == [("NB", "Project", "50%")]
+    below = exports.rows_below_header(read_records(spark, str(tmp_path)))
     assert sorted(r["n_beyond"] for r in below.collect()) == [0, 0, 2]
 
 
@@ -140,3 +143,70 @@ def test_files_by_time(spark, tmp_path):
     assert exports.latest_snapshot(spark, str(tmp_path), "*.csv").endswith("new.csv")
     with pytest.raises(Exception):
         exports.latest_snapshot(spark, str(tmp_path), "*.parquet")
+
+
+def plain_records(text):
+    """Records of a whole text by one expression: a quoted cell runs to its closing quote, if there is one."""
+    quoted = r'"[^"]*+(?:""[^"]*+)*+"'
+    cell = rf"(?:{quoted}[^,\n]*+|[^,\n]*+)"
+    plain = re.sub(r"\r\n?", "\n", text.removeprefix("\ufeff"))
+    found = [m[0] for m in re.finditer(rf"(?:\A|(?<=\n)){cell}(?:,{cell})*+", plain)]
+    return found[:-1] if plain.endswith("\n") else found
+
+
+@pytest.mark.parametrize("size", [1, 7, 200, 1 << 27])
+def test_records_of_any_split_size(spark, tmp_path, size):
+    rng = random.Random(11)
+    bits = ['"', '"', '""', ",", ",", "\n", "\n", "\r\n", "\r", "a", "bc", "é", ',"', '",', "\u2028"]
+    expected = {}
+    for k in range(10 if size == 1 else 60):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 12 if size == 1 else 60))) + rng.choice(["", "\n", "\r\n", '"\nx\n'])
+        name = f"{k}.csv"
+        (tmp_path / name).write_bytes(text.encode())
+        expected |= {(name, n): r for n, r in enumerate(plain_records(text), 1)}
+    (tmp_path / "empty.csv").write_bytes(b"")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        got = read_records(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r["file"].rsplit("/", 1)[1], r["line_no"]): r["record"] for r in got} == expected
+    assert len(got) == len(expected)
+
+
+def test_wide_and_long_records_take_no_stack(spark, tmp_path):
+    wide = ",".join(['"x ""y"" z"', "plain", '"a\nb"'] * 20_000)
+    (tmp_path / "a.csv").write_text(wide + "\n" + '"' + "line\n" * 30_000 + '"\nlast', encoding="utf-8")
+    got = {r["line_no"]: r["record"] for r in read_records(spark, str(tmp_path)).collect()}
+    assert got == {1: wide, 2: '"' + "line\n" * 30_000 + '"', 3: "last"}
+
+
+def test_bad_records_are_set_aside_with_reasons(spark, tmp_path):
+    records = [record(), record(opty="O2")[:9], [*record(opty="O3"), "more"], record(opty="O4", created="soon"), [*record(opty="O5"), " "],
+               record(opty="O6", total="none")]
+    path = write(tmp_path, "a file.csv", records=records)
+    got = exports.read_export(spark, path)
+    assert sorted(r["opty"] or "" for r in got.rows.collect()) == ["", "O1", "O4", "O5", "O6"]
+    rejects = [(r["line_no"], r["status"], r["reasons"], r["record"][:7]) for r in got.rejects.orderBy("line_no").collect()]
+    assert rejects == [
+        (15, "rejected", ["too few cells"], '"A","1/'), (16, "rejected", ["too many cells"], '"A","1/'),
+        (17, "accepted", ["unreadable created"], '"A","so'), (19, "accepted", ["unreadable total_price"], '"A","1/')]
+    counts = got.checks.first().asDict()
+    assert (counts["n_lines"], counts["n_above"], counts["n_blank"]) == (20, 13, 0)
+    assert (counts["n_accepted"], counts["n_rejected"], counts["n_footer"], counts["n_reported"]) == (4, 2, 1, 4)
+    strict = exports.read_export(spark, path, Config(reject_unreadable=True))
+    assert sorted(r["opty"] or "" for r in strict.rows.collect()) == ["", "O1", "O5"]
+
+
+def test_the_gate_names_unreadable_files(spark, tmp_path):
+    write(tmp_path, "good.csv", records=[record()] * 3 + [record()[:5]])
+    exports.require_readable(exports.check_files(spark, str(tmp_path)))
+    with pytest.raises(ValueError, match="good.csv .1 records rejected"):
+        exports.require_readable(exports.check_files(spark, str(tmp_path)), Config(max_rejected_share=0.1))
+    write(tmp_path, "sheet.xlsx")
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(ValueError, match="sheet.xlsx .not a text file"):
+        exports.require_readable(exports.check_files(spark, str(tmp_path)))
+    with pytest.raises(ValueError, match="no export with any content"):
+        exports.require_readable(exports.check_files(spark, str(tmp_path / "empty.csv")))

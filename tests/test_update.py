@@ -1,5 +1,5 @@
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,7 +162,7 @@ def test_streamed_counters(spark, store, tmp_path):
     def run():
         stream = spark.readStream.schema(columns).parquet(folder)
         counters.stream_owner_counts(stream, store, str(tmp_path / "c"), SECOND).awaitTermination()
-        return rows(store.read("owner_counts", store.latest()))
+        return rows(counters.streamed_counts(store))
 
     day = datetime(2025, 6, 3)
     add(("A", "O1", day), ("A", "O2", day), ("B", "O1", datetime(2025, 7, 1)))
@@ -173,7 +173,53 @@ def test_streamed_counters(spark, store, tmp_path):
         add(("C", f"O{k}", day))
     stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(folder)
     counters.stream_owner_counts(stream, store, str(tmp_path / "c"), SECOND).awaitTermination()
-    assert rows(store.read("owner_counts", store.latest())) == [("A", 23, 2), ("B", 23, 1), ("C", 23, 3)]
+    assert rows(counters.streamed_counts(store)) == [("A", 23, 2), ("B", 23, 1), ("C", 23, 3)]
+
+
+def folder_bytes(path):
+    return sum(p.stat().st_size for p in path.rglob("*") if p.is_file())
+
+
+def test_a_batch_writes_what_it_brings_not_the_state(spark, store, tmp_path):
+    folder, checkpoint = str(tmp_path / "in"), tmp_path / "c"
+    day = F.lit(datetime(2025, 6, 3)).cast("timestamp_ntz")
+    columns = "owner string, opty string, created timestamp_ntz"
+
+    def run(first, n):
+        made = spark.range(first, first + n).select(F.concat(F.lit("A"), F.col("id") % 5).alias("owner"),
+                                                    F.concat(F.lit("O"), F.sha2(F.col("id").cast("string"), 256)).alias("opty"), day.alias("created"))
+        made.write.mode("append").parquet(folder)
+        before = folder_bytes(checkpoint / "state") if checkpoint.exists() else 0
+        stream = spark.readStream.schema(columns).parquet(folder)
+        counters.stream_owner_counts(stream, store, str(checkpoint), SECOND).awaitTermination()
+        return folder_bytes(checkpoint / "state") - before
+
+    large = run(0, 40_000)
+    small = [run(40_000 + 20 * k, 20) for k in range(4)]
+    assert max(small) < large / 20
+    assert rows(counters.streamed_counts(store)) == [(f"A{k}", 23, 8_016) for k in range(5)]
+
+
+def test_late_rows_are_counted_and_weeks_close(spark, store, tmp_path):
+    folder, checkpoint = str(tmp_path / "in"), str(tmp_path / "c")
+    columns = "kind string, created timestamp_ntz"
+
+    def run(*records):
+        spark.createDataFrame(list(records), columns).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(columns).parquet(folder)
+        counters.stream_week_counts(stream, store, checkpoint, timedelta(days=3), by=("kind",)).awaitTermination()
+
+    monday = [datetime(2025, 6, 2), datetime(2025, 6, 9), datetime(2025, 6, 16)]
+    run(("a", datetime(2025, 6, 3)), ("a", datetime(2025, 6, 4)), ("b", None))
+    run(("a", datetime(2025, 6, 11, 23)), ("a", datetime(2025, 6, 5)))  # the mark is not past the first week yet
+    assert rows(store.read("open", store.latest())) == [("a", monday[0], 3), ("a", monday[1], 1)]
+    run(("a", datetime(2025, 6, 6)), ("b", datetime(2025, 6, 17)))  # still on time, then the week closes
+    assert rows(store.read("closed", store.latest())) == [("a", monday[0], 4), ]
+    run(("a", datetime(2025, 6, 7)), ("a", datetime(2025, 6, 8)), ("a", datetime(2025, 6, 18)))
+    assert rows(counters.week_totals(store, ("kind",))) == sorted([
+        ("a", monday[0], "final", 4), ("a", monday[0], "late", 2), ("a", monday[1], "open", 1), ("a", monday[2], "open", 1),
+        ("b", monday[2], "open", 1), ("b", None, "undated", 1)], key=repr)
+    assert {r["week"] for r in store.read("open", store.latest()).collect()} == set(monday[1:])
 
 
 def test_config_is_checked():
