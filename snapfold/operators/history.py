@@ -81,7 +81,8 @@ def fold_notes(history: DataFrame, master: DataFrame, *also) -> DataFrame:
     The latest filled note of a key and week wins (by ``seq``) and any note wins over the
     archive; blanks never erase. Opportunity and model keep the archive's names, and are
     filled from the earliest noted row where it has none. ``also`` are further aggregates
-    over the rows of a key, so that one shuffle of the tracking table serves them all.
+    over the rows of a key, so that one shuffle of the tracking table serves them all. ``changed`` are the notes of which
+    the archive has no equal row.
     """
     def filled(c):
         return ~x.is_blank(f"`{c}`")
@@ -113,9 +114,12 @@ def fold_notes(history: DataFrame, master: DataFrame, *also) -> DataFrame:
             for c in ("opty", "model")}
     extra = [c for c in per_key.columns
              if c not in ("key", "new_opty", "new_model", *[f"n{w}" for w in weeks.values()])]
+    notes = F.concat(kept, fresh_notes)
+    renamed = ~F.col("old_opty").eqNullSafe(name["opty"]) | ~F.col("old_model").eqNullSafe(name["model"])
+    changed = F.filter(fresh_notes, lambda n: ~F.array_contains(stored_notes, n))
     return merged.select(
-        "key", *[e.alias(c) for c, e in name.items()],
-        F.concat(kept, fresh_notes).alias("notes"), *extra,
+        "key", *[e.alias(c) for c, e in name.items()], notes.alias("notes"),
+        F.when(renamed, notes).otherwise(changed).alias("changed"), *extra,
     )
 
 
@@ -124,6 +128,17 @@ def archive_rows(folded: DataFrame) -> DataFrame:
     return folded.select("key", "opty", "model", F.inline("notes"))
 
 
+def archive_changes(folded: DataFrame) -> DataFrame:
+    """Rows of the archive in long form that are new or different after :func:`fold_notes`."""
+    return folded.select("key", "opty", "model", F.inline("changed"))
+
+
+def left_rows(history: DataFrame, pipe: DataFrame) -> DataFrame:
+    """Archive rows that :func:`history_semi` takes out: their key has left the pipe, which is not empty."""
+    keys = pipe.select("key").distinct()
+    return history.join(keys, "key", "left_anti").filter(any_rows(pipe))
+
+
 def history_upsert(history: DataFrame, master: DataFrame) -> DataFrame:
     """Write the notes of a tracking table into the archive."""
     return archive_rows(fold_notes(history, master))
@@ -152,7 +167,7 @@ def apply_week_shift(master: DataFrame, history: DataFrame, weeks: list[int], sh
     new = [f"__new{i}" for i in range(len(weeks))]
     values = window_values(history, weeks, new)
     known = any_rows(history) if known is None else known
-    joined = lookup_join(master, values, ["key"], ["seq"])
+    joined = lookup_join(master, values, ["key"])
     refill = known & ~x.is_blank("key")
     return joined.withColumns({
         old: F.when(refill, F.coalesce(F.col(n), F.lit(""))).otherwise(F.col(f"`{old}`"))
@@ -165,7 +180,7 @@ def week_columns_for_pipe(pipe: DataFrame, master: DataFrame, weeks: list[int])
     old = schema.week_columns(master.columns)[: len(weeks)]
     picks = F.max_by(F.struct(*[F.col(f"`{c}`").alias(f"p{i}") for i, c in enumerate(old)]), "seq")
     found = master.groupBy("key").agg(picks.alias("notes"))
-    joined = lookup_join(pipe, found, ["key"], ["seq"])
+    joined = lookup_join(pipe, found, ["key"])
     cells = {
         schema.week_column(w): x.clean_text(F.col(f"notes.p{i}")) if i < len(old) else F.lit("")
         for i, w in enumerate(weeks)
@@ -184,5 +199,5 @@ def history_semi(history: DataFrame, pipe: DataFrame) -> DataFrame:
 def history_values(pipe: DataFrame, history: DataFrame, weeks: list[int]) -> DataFrame:
     """Archive values of the given weeks beside each pipe row (empty text where none)."""
     names = [schema.week_column(w) for w in weeks]
-    joined = lookup_join(pipe, window_values(history, weeks, names), ["key"], ["seq"])
+    joined = lookup_join(pipe, window_values(history, weeks, names), ["key"])
     return joined.withColumns({n: F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names})

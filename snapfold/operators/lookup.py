@@ -31,7 +31,7 @@ def last_first(master: DataFrame, last, first, keys=("key",), order: str = "seq"
 
 def carry_forward_last(pipe: DataFrame, master: DataFrame, columns) -> DataFrame:
     """Each column's text from the last row with the same key, else empty text."""
-    joined = lookup_join(pipe, last_first(master, columns, ()), ["key"], ["seq"])
+    joined = lookup_join(pipe, last_first(master, columns, ()), ["key"])
     values = {c: x.clean_text(F.col("last")[c]) for c in columns}
     return joined.withColumns(values).drop("last")
 
@@ -78,13 +78,13 @@ FIRST_COLUMNS = ("qty", "sales_price", "total_price", "est_qty")
 
 def carry_forward_qty(pipe: DataFrame, master: DataFrame) -> DataFrame:
     found = last_first(master, ("est_qty",), ("qty",))
-    joined = lookup_join(pipe, found, ["key"], ["seq"])
+    joined = lookup_join(pipe, found, ["key"])
     return joined.withColumn("est_qty", carried_qty(found)).drop("last", "first")
 
 
 def carry_forward_revenue(pipe: DataFrame, master: DataFrame) -> DataFrame:
     found = last_first(master, ("revenue",), ("total_price", "sales_price", "est_qty"))
-    joined = lookup_join(pipe, found, ["key"], ["seq"])
+    joined = lookup_join(pipe, found, ["key"])
     return joined.withColumn("revenue_carried", carried_revenue(found)).drop("last", "first")
 
 
@@ -95,7 +95,7 @@ def carry_forward_manual(pipe: DataFrame, found: DataFrame, extra=(), hot: DataF
     The revenue of the tracking table is always quantity times price; the carried figure is
     kept beside it. ``hot`` may name the hot keys when the caller finds them more cheaply.
     """
-    joined = lookup_join(pipe, found, ["key"], ["seq"], hot).withColumn("est_qty", carried_qty(found))
+    joined = lookup_join(pipe, found, ["key"], hot).withColumn("est_qty", carried_qty(found))
     return joined.select(
         *[F.col(f"`{c}`") for c in pipe.columns],
         "est_qty",

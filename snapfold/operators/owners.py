@@ -78,6 +78,13 @@ def owner_max_merge(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("owner", "week").agg(F.max("n").alias("n"))
 
 
+def owner_count_growth(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The counters that :func:`owner_max_merge` raises or adds, with their new values."""
+    known = stored.groupBy("owner", "week").agg(F.max("n").alias("known"))
+    both = new.select("owner", "week", "n").join(known, ["owner", "week"], "left")
+    return both.filter(F.col("known").isNull() | (F.col("n") > F.col("known"))).drop("known")
+
+
 def owner_tracking_wide(counts: DataFrame) -> DataFrame:
     """Counters as ``owner, W01..W53`` with 0 where nothing was counted."""
     weeks = list(schema.WEEKS)

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SALT = "__salt"
-#: Counters of the sketch for each key that may be hot, the shares of a partition that make a key hot, and the buckets
-#: each of its shares is spread over.
+#: Counters of the sketch for each key that may be hot, and the shares of a partition that make a key hot.
 _TRACKED_PER_KEY = 16
 _HOT_SHARES = 4.0
-_BUCKETS_PER_SHARE = 4
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -18,7 +15,7 @@ def _shuffle_partitions(df: DataFrame) -> int:
 
 
 def hot_hashes(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row with a map: hash of a key that holds far more than a partition's share -> buckets to spread it over.
+    """One row with a map: hash of a key that holds far more than a partition's share -> its share in partitions.
 
     A frequent-items sketch finds them in one pass with partial aggregation; its size follows the number of partitions,
     so a key is hot at the same multiple of a partition's share whatever that number is. It decides only how rows are
@@ -34,29 +31,25 @@ def hot_hashes(df: DataFrame, keys: list[str]) -> DataFrame:
     fair = F.col("n") / F.lit(partitions)
     limit = F.least(F.lit(_HOT_SHARES) * fair, F.col("n") * F.lit(0.1))
     hot = F.filter("top", lambda t: t["count"] > limit)
-    buckets = lambda t: F.ceil(t["count"] * _BUCKETS_PER_SHARE / fair).cast("int")
-    return sketch.select(F.map_from_entries(F.transform(hot, lambda t: F.struct(t["item"], buckets(t)))).alias("hot"))
+    shares = lambda t: F.ceil(t["count"] / fair).cast("int")
+    return sketch.select(F.map_from_entries(F.transform(hot, lambda t: F.struct(t["item"], shares(t)))).alias("hot"))
 
 
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     on: list[str],
-    spread_by: list[str],
     hot: DataFrame | None = None,
 ) -> DataFrame:
     """Left outer join to a ``right`` that has one row per key.
 
-    Skewed partitions of ``left`` are split by Spark at run time, which takes no second look at the data. A caller that
-    has counted its keys may give them as ``hot``: rows of hot keys are then spread over buckets in proportion to their
-    number, and only the matching ``right`` rows are repeated, once per bucket. ``spread_by`` must tell the rows of one
-    key apart; the bucket is a hash of it, so a task that runs again after a lost executor puts every row where it was
-    before.
+    Skewed partitions of ``left`` are split by Spark at run time, which takes no second look at the data; that needs both
+    sides to be shuffled. Where ``right`` lies in buckets it is not, so a caller gives ``hot``, its hot keys: rows of
+    those, of which there are no more than :func:`hot_hashes` reports, meet their few ``right`` rows by broadcast, and
+    all others by key.
     """
     if hot is None:
         return left.join(right, on, "left")
-    buckets: Column = F.coalesce(F.try_element_at(hot.scalar(), F.xxhash64(*on)), F.lit(1))
-    bucket = F.pmod(F.xxhash64(*spread_by), buckets).cast("int")
-    spread_left = left.withColumn(_SALT, bucket)
-    spread_right = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), buckets - 1)))
-    return spread_left.join(spread_right, [*on, _SALT], "left").drop(_SALT)
+    is_hot = lambda: F.coalesce(F.map_contains_key(hot.scalar(), F.xxhash64(*on)), F.lit(False))
+    spread = left.filter(is_hot()).join(F.broadcast(right.filter(is_hot())), on, "left")
+    return left.filter(~is_hot()).join(right, on, "left").unionByName(spread)

@@ -6,7 +6,7 @@ import hashlib
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from snapfold import schema
@@ -14,6 +14,7 @@ from snapfold.config import Config
 from snapfold.functions import scalars as x
 from snapfold.functions.weeks import current_week, detect_week_shift, week_window
 from snapfold.operators import clean, history, lookup, owners, trend
+from snapfold.operators.skew import hot_hashes
 from snapfold.sources.store import Store
 
 
@@ -138,10 +139,11 @@ def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time
                config: Config = Config(), source: str = "") -> str:
     """Fold one snapshot into the store and return the version written.
 
-    The cleaned snapshot is written first, so raw text is parsed once. What is known per key
-    follows and serves both the tracking table and the archive; the tracking table in turn
-    serves every later table. So each step starts from files in the shared folder. Running the
-    same snapshot twice starts from the same earlier state and writes the same version.
+    What is known per key is written in buckets of the key and serves both the tracking table and the archive, neither of
+    which shuffles it again; the tracking table in turn serves every later table. So each step starts from files in the
+    shared folder. The archive and the counters are written as changes. What was read, dropped, late or unfit is
+    counted on the writes themselves and stored as ``counts``. Running the same snapshot twice starts from the same earlier
+    state and writes the same version.
 
     ``source`` (the file) tells snapshots of the same time apart. A snapshot older than the last one folded in is folded
     onto the latest state all the same: counters take the larger value and the log its own row, so nothing is lost.
@@ -149,15 +151,22 @@ def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time
     version = version_name(snapshot_time, source)
     previous = store.latest(before=version)
     state = load_state(store, snapshot, previous)
-    folded = store.write("folded", fold_state(state), version)
-    rows = store.write("cleaned", clean.clean(snapshot, config), version)
-    tracking = track(rows, state, as_of, config, folded)
-    main = store.write("main", tracking.main, version)
+    folded = store.write_bucketed("folded", fold_state(state), version, "key")
+    read, tracked = Observation("read"), Observation("tracked")
+    rows = store.write("cleaned", clean.clean(_observed(snapshot, read, as_of, config), config), version)
+    tracking = track(rows, state, as_of, config, folded, hot_hashes(rows, ["key"]))
+    main = store.write("main", _observed_main(tracking.main, tracked), version)
+    counts = read.get | tracked.get
+    store.write("counts", store.spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} long" for c in counts)), version)
     store.write("run_rate", tracking.run_rate, version)
     store.write("closed_lost", tracking.closed_lost, version)
     summary = summarise(main, tracking.history, state, as_of, snapshot_time, config)
-    store.write("history", summary.history, version)
-    store.write("owner_counts", summary.owner_counts, version, sort_by=("owner", "week"))
+    store.write_changes(
+        "history", summary.history, history.history_semi(history.archive_changes(folded), main),
+        history.left_rows(state.history, main), version, previous,
+    )
+    grown = owners.owner_count_growth(state.owner_counts, owners.owner_week_counts(main, as_of, config))
+    store.write_changes("owner_counts", summary.owner_counts, grown, grown.limit(0), version, previous)
     store.write("details", summary.details, version, sort_by=("owner", "year", "week"))
     log = store.write("log", summary.log, version)
     window = trend.rolling_view(log, config)
@@ -165,3 +174,19 @@ def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time
     store.write("trend", trend.trend_view(window, offsets), version)
     store.commit(version, previous)
     return version
+
+
+def _observed(snapshot: DataFrame, read: Observation, as_of: datetime, config: Config) -> DataFrame:
+    """The snapshot, counted on its way to the cleaned table: rows read, rows dropped by the first reason, rows dated
+    after the run, and total prices that do not fit and so are in no sum."""
+    reason = clean.drop_reason(config)
+    return snapshot.observe(
+        read, F.count("*").alias("n_read"),
+        *(F.count_if(reason == r).alias(f"n_{r}") for r in clean.DROP_REASONS),
+        F.count_if(x.is_future("created", as_of)).alias("n_future"),
+        x.money_misfits("total_price").alias("n_unfit_total_price"),
+    )
+
+
+def _observed_main(main: DataFrame, tracked: Observation) -> DataFrame:
+    return main.observe(tracked, F.count("*").alias("n_tracked"), x.money_misfits("revenue").alias("n_unfit_revenue"))

@@ -63,7 +63,7 @@ def test_hot_keys_are_found_and_spread(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        joined = skew.lookup_join(left, right, ["key"], ["seq"], skew.hot_hashes(left, ["key"]))
+        joined = skew.lookup_join(left, right, ["key"], skew.hot_hashes(left, ["key"]))
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
         assert rows(joined) == rows(left.join(right, "key", "left"))
         assert max(sizes) < 30_000 / 6
@@ -82,17 +82,17 @@ def test_a_key_of_a_thousandth_is_hot_where_partitions_are_many(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
     key = spark.range(1).select(F.xxhash64(F.lit(-1).cast("long")).alias("h")).first()["h"]
-    assert 80 <= hot[key] <= 100  # 20 shares of a partition, four buckets each
+    assert 20 <= hot[key] <= 25  # 20 shares of a partition
 
 
 def test_hot_null_keys_do_not_match(spark):
     left = spark.createDataFrame([(None, i) for i in range(2000)] + [("a", 1)], "key string, seq int")
     right = spark.createDataFrame([("a", 1)], "key string, v int")
-    joined = skew.lookup_join(left, right, ["key"], ["seq"])
+    joined = skew.lookup_join(left, right, ["key"])
     assert joined.count() == 2001 and joined.filter("v is not null").count() == 1
 
 
 def test_plans_hold_no_cartesian_product_and_no_python(spark):
     left = spark.range(100).select(F.col("id").cast("string").alias("key"), "id")
-    text = skew.lookup_join(left, left.select("key"), ["key"], ["id"])._jdf.queryExecution().toString()
+    text = skew.lookup_join(left, left.select("key"), ["key"])._jdf.queryExecution().toString()
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "PythonUDF" not in text

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from conftest import rows
 from snapfold import schema
 from snapfold.config import Config
+from snapfold.operators import clean, history
 from snapfold.plans import replay, update
+from snapfold.sources import store as store_module
 from snapfold.sources.store import Store
 from snapfold.streaming import counters
 from snapfold.streaming import replay as stream_replay
@@ -77,6 +79,69 @@ def test_the_same_snapshot_twice_changes_nothing(spark, store):
     assert store.latest() == version and store.latest(before=version) != version
 
 
+def test_the_archive_is_written_as_changes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "FULL_EVERY", 5)
+    store, rng = Store(spark, str(tmp_path / "store"), buckets=4), random.Random(2)
+    keys, versions, sizes = [f"O{k}" for k in range(2_000)], [], []
+    expected = {}
+    for run in range(7):
+        moment = FIRST + timedelta(minutes=run)
+        previous = store.latest()
+        kept = [k for k in keys if rng.random() < 0.99]
+        noted = {k: f"note {run} {k}" for k in (kept if run == 0 else rng.sample(kept, 20))}
+        expected = {k: noted.get(k, expected.get(k)) for k in kept if k in noted or k in expected}
+        state = update.load_state(store, snapshot(spark), previous)
+        notes = spark.createDataFrame([(k, k, "", 23, v) for k, v in noted.items()], schema.HISTORY_SCHEMA)
+        stored = spark.createDataFrame([], schema.HISTORY_SCHEMA) if previous is None else state.history
+        pipe = spark.createDataFrame([(k,) for k in kept], "key string")
+        merged = stored.join(notes, ["key", "week"], "left_anti").unionByName(notes)
+        version = update.version_name(moment)
+        store.write_changes("history", history.history_semi(merged, pipe), notes, history.left_rows(stored, pipe), version, previous)
+        store.write_changes("owner_counts", *[spark.createDataFrame([], schema.OWNER_WEEK_SCHEMA)] * 3, version, previous)
+        store.write("main", state.main, version)
+        store.write("log", state.log, version)
+        store.commit(version, previous)
+        versions.append(version)
+        sizes.append(spark.read.parquet(str(tmp_path / "store" / "history" / f"version={version}")).count())
+        keys = kept
+        assert {r["key"]: r["value"] for r in store.read("history", version).collect()} == expected
+    assert [len(store._chain("history", v)[0]) for v in versions] == [1, 2, 3, 4, 5, 1, 2]
+    assert max(sizes[1:5]) < sizes[0] / 40 and sizes[5] > sizes[0] / 2
+    # another session, and another number of buckets, read the same
+    for v, n in ((versions[3], 4), (versions[6], 7)):
+        again = Store(spark.newSession(), str(tmp_path / "store"), buckets=n)
+        assert rows(again.read("history", v)) == rows(store.read("history", v))
+
+
+def test_looking_up_the_state_shuffles_the_snapshot_only(spark, store):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        records = [row(f"O{i}") for i in range(300)]
+        first = update.run_update(store, snapshot(spark, *records), FIRST, FIRST)
+        state = update.load_state(store, snapshot(spark), first)
+        folded = store.write_bucketed("folded", update.fold_state(state), "next", "key")
+        cleaned = store.write("cleaned", clean.clean(snapshot(spark, *records)), "next")
+        main = update.track(cleaned, state, SECOND, folded=folded).main
+        plan = main._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(key") == 1 and "SortMergeJoin" in plan
+        semi = history.history_semi(history.archive_rows(folded), store.read("main", first))
+        assert semi._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1  # keys of main
+        assert state.history.groupBy("key").count()._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_run_counts_what_it_reads_and_drops(spark, store):
+    records = [row(), row("O2", owner="Total"), row("O3", owner=None), row("O4", customer=None), row("O5", owner="X"),
+               row("O6", customer="Generic A"), row("O7", total=1e30), row("O8", stage="Closed Lost")]
+    version = update.run_update(store, snapshot(spark, *records), datetime(2025, 6, 1), FIRST, Config(excluded_owners=("X",)))
+    assert store.read("counts", version).first().asDict() == {
+        "n_read": 8, "n_footer": 1, "n_incomplete": 2, "n_excluded": 1, "n_small_generic": 1, "n_product_line": 0,
+        "n_future": 8, "n_unfit_total_price": 1, "n_tracked": 2, "n_unfit_revenue": 0}
+
+
 def test_snapshots_of_one_time_are_runs_of_their_own(spark, store):
     update.run_update(store, snapshot(spark, row()), FIRST, FIRST, source="a.csv")
     update.run_update(store, snapshot(spark, row("O2", owner="B")), FIRST, FIRST, source="b.csv")
