@@ -79,8 +79,9 @@ STOP, BREAK = SENTENCE_END.split("|\\n")[0], r"\n+"
 STOP_MARK = "|"
 #: Comment signs that count as words or as sentence ends; all others are not plain anyway.
 SIGN_WORDS, SIGN_STOPS = r"(?:dnl|rem|c)(?![a-z0-9.])[ .]*", r"(?m)^[ \t]*!+[ \t]*"
-#: A line break inside a sentence, with blank lines and the next line's comment sign.
-WRAP = rf"[ .]*(?:\n[ .]*(?:{SIGN_WORDS})?)+"
+#: A line break inside a sentence, with blank lines and the next line's comment sign. Possessive, so that any number of
+#: blank lines takes no stack; no known sentence has a word that reads as a comment sign or starts with a point.
+WRAP = rf"[ .]*+(?:\n[ .]*+(?:{SIGN_WORDS})?+)++"
 
 
 def _plain(sentence: str) -> str:

@@ -121,3 +121,15 @@ def test_sentences_on_lines_of_their_own_and_their_places(spark, docs_of):
     texts = ["Title\nReleased under the MIT License\nCopyright 2020", "Not released under the MIT\nLicense", "a\n\nb. c\nLicensed under\nCC BY 4.0\nAll rights\nreserved. d"]
     rows = licenses.with_licences(docs_of([*enumerate(texts)]), "found").orderBy("doc_id").collect()
     assert [[(s.place, s.id) for s in r.found.sentences] for r in rows] == [[(1, "mit-released")], [], [(3, "cc-by"), (5, "rights")]]
+
+
+def test_any_number_of_blank_lines_inside_a_notice(spark, docs_of):
+    texts = ["Released under" + "\n " * n + "\nthe MIT License.\n" for n in (3, 5_000, 1_000_000)]
+    texts += ["Released under" + "\n# " * 300_000 + "\n# the MIT\nLicense.", "\n dnl\n" * 200_000]
+    expected = [(["mit-released"], ["MIT"])] * 4 + [([], [])]
+    assert found(licenses.with_licences(docs_of([*enumerate(texts)]), "found")) == expected
+
+
+def test_no_word_of_a_known_sentence_reads_as_a_sign():
+    words = {w for s in licenses.known_sentences() for w in s.split()}
+    assert not words & {"c", "dnl", "rem"} and not any(w.startswith(".") for w in words)
