@@ -96,7 +96,13 @@ def drop_null_required(df: DataFrame) -> DataFrame:
 
 
 def exclude_owners(df: DataFrame, owners) -> DataFrame:
-    """Drop rows of the listed owners; an empty list keeps everything."""
+    """Drop rows of the listed owners; an empty list keeps everything, and so does a row without owner.
+
+    ``owners`` is a short list, or a table of any size with a column ``owner``, which no plan spells out: Spark joins it
+    by the size it finds.
+    """
+    if isinstance(owners, DataFrame):
+        return df.join(owners.select("owner").filter("owner is not null").distinct(), "owner", "left_anti").select(df.columns)
     owners = list(owners)
     return df.filter(~F.coalesce(F.col("owner"), F.lit("")).isin(*owners)) if owners else df
 
@@ -161,12 +167,14 @@ def drop_reason(config: Config = Config()) -> Column:
     return F.coalesce(*(F.when(test, reason) for reason, test in zip(DROP_REASONS, tests, strict=True)))
 
 
-def clean(df: DataFrame, config: Config = Config()) -> DataFrame:
-    """All row filters of the main update, then the key."""
+def clean(df: DataFrame, config: Config = Config(), excluded: DataFrame | None = None) -> DataFrame:
+    """All row filters of the main update, then the key. ``excluded`` is a table of owners to leave out besides the short
+    list of the settings."""
     steps = (
         drop_footer_rows,
         drop_null_required,
         lambda d: exclude_owners(d, config.excluded_owners),
+        lambda d: d if excluded is None else exclude_owners(d, excluded),
         drop_small_generic,
         exclude_product_lines,
         with_key,

@@ -11,6 +11,7 @@ from snapfold import schema
 from snapfold.config import Config
 from snapfold.functions import scalars as x
 from snapfold.functions.weeks import current_week
+from snapfold.operators.dedup import first_per_key
 
 
 def _identified() -> Column:
@@ -45,6 +46,15 @@ def _owner_weeks(df: DataFrame, as_of: datetime, config: Config) -> DataFrame:
     )
 
 
+def owner_week_counts_by_run(df: DataFrame, run: str, as_of: str, config: Config = Config()) -> DataFrame:
+    """As :func:`owner_week_counts` for many runs at once; the column ``as_of`` holds the time of each."""
+    created, moment = F.col("created"), F.col(as_of)
+    this_year = (created <= moment) & (F.year(created) == F.year(moment))
+    rows = df.filter(_identified() & ~_excluded(config) & this_year).select(
+        run, x.strip("owner").alias("owner"), x.iso_week("created").alias("week"), x.strip("opty").alias("opty"))
+    return rows.groupBy(run, "owner", "week").agg(F.count_distinct("opty").alias("n"))
+
+
 def owner_week_optys(df: DataFrame, as_of: datetime, config: Config = Config()) -> DataFrame:
     """The (owner, week, opportunity) that count, each once."""
     return _owner_weeks(df, as_of, config).distinct()
@@ -138,12 +148,8 @@ def owner_details(df: DataFrame, as_of: datetime, config: Config = Config()) ->
         x.positive_or_null(x.number_or("total_price")).alias("price"),
         "seq",
     )
-    first = rows.groupBy("owner", "year", "week_no", "opty").agg(
-        F.min_by(F.struct("customer", "price"), "seq").alias("first")
-    )
-    return first.select(
-        "owner", "opty", "first.customer", "first.price", "year", x.week_label("week_no").alias("week")
-    )
+    first = first_per_key(rows, ["owner", "year", "week_no", "opty"])
+    return first.select("owner", "opty", "customer", "price", "year", x.week_label("week_no").alias("week"))
 
 
 def year_counts(details: DataFrame) -> DataFrame:

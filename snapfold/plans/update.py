@@ -136,7 +136,7 @@ def load_state(store: Store, snapshot: DataFrame, version: str | None) -> State:
 
 
 def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time: datetime,
-               config: Config = Config(), source: str = "") -> str:
+               config: Config = Config(), source: str = "", excluded: DataFrame | None = None) -> str:
     """Fold one snapshot into the store and return the version written.
 
     What is known per key is written in buckets of the key and serves both the tracking table and the archive, neither of
@@ -145,6 +145,9 @@ def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time
     counted on the writes themselves and stored as ``counts``. Running the same snapshot twice starts from the same earlier
     state and writes the same version.
 
+    ``excluded`` is a table of owners to leave out, of any length; rows of the short list in ``config`` are counted
+    apart, those of the table are what is missing between ``n_read``, the reasons and the cleaned rows.
+
     ``source`` (the file) tells snapshots of the same time apart. A snapshot older than the last one folded in is folded
     onto the latest state all the same: counters take the larger value and the log its own row, so nothing is lost.
     """
@@ -153,7 +156,7 @@ def run_update(store: Store, snapshot: DataFrame, as_of: datetime, snapshot_time
     state = load_state(store, snapshot, previous)
     folded = store.write_bucketed("folded", fold_state(state), version, "key")
     read, tracked = Observation("read"), Observation("tracked")
-    rows = store.write("cleaned", clean.clean(_observed(snapshot, read, as_of, config), config), version)
+    rows = store.write("cleaned", clean.clean(_observed(snapshot, read, as_of, config), config, excluded), version)
     tracking = track(rows, state, as_of, config, folded, hot_hashes(rows, ["key"]))
     main = store.write("main", _observed_main(tracking.main, tracked), version)
     counts = read.get | tracked.get

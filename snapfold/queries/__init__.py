@@ -10,6 +10,7 @@ from snapfold.queries import (  # noqa: F401
     plan_queries,
     scalar_queries,
     source_queries,
+    store_queries,
     trend_queries,
 )
 from snapfold.queries.registry import ORACLES, QUERIES

@@ -115,3 +115,10 @@ def open_opportunities(spark, sf_dir):
 def clean_snapshot(spark, sf_dir):
     rows = b.opps(spark, sf_dir, "owner", "customer", "opty", "model", "total_price", "product_line", "stage")
     return clean.clean(rows)
+
+
+@query("SELECT owner, customer, opty FROM opps WHERE owner NOT IN (SELECT s_name FROM supplier WHERE s_acctbal < 3000)")
+def exclude_owner_table(spark, sf_dir):
+    """Owners to leave out given as a table, which grows with the data."""
+    owners = b.table(spark, sf_dir, "supplier").filter("s_acctbal < 3000").select(F.col("s_name").alias("owner"))
+    return clean.exclude_owners(b.opps(spark, sf_dir, "owner", "customer", "opty"), owners)

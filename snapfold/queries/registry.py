@@ -21,6 +21,17 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
+def same_rows_as(other: str):
+    """Register ``f`` under its name, with the SQL of a query that is registered already."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = ORACLES[other]
+        return f
+
+    return register
+
+
 _LABELS = """CASE {i} WHEN 0 THEN 'LOST = Perdu' WHEN 1 THEN 'UNCOMMITED = Pas certain'
   WHEN 2 THEN 'UNCOMMITED UPSIDE = Certain à 50% du WIN' WHEN 3 THEN 'COMMIT AT RISK = Certain à 75% du WIN'
   WHEN 4 THEN 'COMMIT = Certain à 100% du WIN' WHEN 5 THEN 'WIN = Gagné' END"""

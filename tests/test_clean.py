@@ -40,6 +40,10 @@ def test_footer_null_and_excluded_owners(spark):
     assert len(rows(clean.drop_null_required(df))) == 3
     assert len(rows(clean.exclude_owners(df, ["B"]))) == 4
     assert len(rows(clean.exclude_owners(df, []))) == 5
+    listed = spark.range(1_000_000).selectExpr("if(id = 0, 'B', concat('owner ', id)) as owner")
+    by_table = clean.exclude_owners(df, listed.unionByName(spark.createDataFrame([(None,)], "owner string")))
+    assert rows(by_table) == rows(clean.exclude_owners(df, ["B"])) and by_table.columns == df.columns
+    assert "owner 7" not in by_table._jdf.queryExecution().toString()
     assert [r[0] for r in rows(clean.clean(df, Config(excluded_owners=("B",))))] == ["A"]
 
 

@@ -192,6 +192,26 @@ def test_replay_chains_the_state(spark, store):
     assert [r["nb_opty"] for r in store.read("log", version).orderBy("seq").collect()] == [2, 1]
 
 
+@pytest.mark.parametrize("log_key", ["date", "wk"])
+def test_a_replay_at_once_equals_the_runs_in_order(spark, store, log_key):
+    rng, config = random.Random(7), Config(log_key=log_key)
+    whole = None
+    for hours in (0, 20, 24 * 8, 24 * 380):
+        records = [row(f"O{i}", owner=rng.choice("AB"), model=rng.choice(["M", None]), total=rng.choice([10.0, None, 1e25]),
+                       qty=rng.choice([None, 0.0, 2.0, 5.0]), stage=rng.choice(["Open", "Open", "Closed Lost"]))
+                   for i in range(8) if rng.random() < 0.8 for _ in range(rng.randint(1, 2))]
+        moment = FIRST + timedelta(hours=hours)
+        one = snapshot(spark, *records).withColumn("snapshot_time", F.lit(moment).cast("timestamp_ntz"))
+        whole = one if whole is None else whole.unionByName(one)
+    whole = store.write("given", whole, "all")
+    version = replay.replay_snapshots(store, whole, config)
+    counters_, log = replay.replay_at_once(whole, config)
+    assert rows(counters_) == rows(store.read("owner_counts", version))
+    columns = ("date", "wk", "nb_opty", "sf_amount", "est_amount", "seq")
+    assert rows(log.select(*columns)) == rows(store.read("log", version).select(*columns))
+    assert any(r["est_amount"] for r in log.collect()) and store.read("history", version).count() == 0
+
+
 def test_stream_of_export_files(spark, store, tmp_path):
     folder = tmp_path / "exports"
     folder.mkdir()
