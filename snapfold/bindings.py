@@ -350,10 +350,29 @@ def opportunity_exports(spark: SparkSession, sf_dir: str, folder: str) -> str:
     end = F.array(F.array(F.lit("")), F.array(F.lit(schema.FOOTER_OWNERS[0]), F.lit("")))
     foot = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.posexplode(end).alias("place", "cells"))
     lines = head.unionByName(body).unionByName(foot.withColumn("place", F.col("place") + (1 << 60)))
+    return _write_files(lines.withColumn("file", F.concat(F.lit("export-"), F.col("l_suppkey").cast("string"))), folder)
+
+
+def _write_files(lines: DataFrame, folder: str) -> str:
+    """Lines ``(file, place, cells)`` as quoted text, one file each in the order of ``place``; one blank cell is a blank line."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     blank = (F.size("cells") == 1) & (F.get("cells", F.lit(0)) == "")
     value = F.when(blank, F.lit("")).otherwise(F.array_join(F.transform("cells", quote), ","))
-    file = F.concat(F.lit("export-"), F.col("l_suppkey").cast("string"))
-    placed = lines.select(file.alias("file"), "place", value.alias("value")).repartition("file").sortWithinPartitions("file", "place")
+    placed = lines.select("file", "place", value.alias("value")).repartition("file").sortWithinPartitions("file", "place")
     placed.drop("place").write.option("lineSep", "\n").partitionBy("file").text(folder)
     return folder
+
+
+def enduser_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """:func:`enduser_export` as text, one file per owner: two notices, the header, the rows."""
+    rows = enduser_export(spark, sf_dir)
+    names = [name for _, name in schema.ENDUSER_LABELS]
+    text = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names}
+    text |= {n: F.date_format(n, "M/d/yyyy") for n in schema.ENDUSER_DATES}
+    file = F.concat(F.lit("enduser-"), F.col("owner"))
+    body = rows.select(file.alias("file"), F.xxhash64("seq").alias("place"), F.array(*text.values()).alias("cells"))
+    label = F.array(*(F.lit(label) for label, _ in schema.ENDUSER_LABELS))
+    top = F.array(F.array(F.lit("Filtered by"), F.lit("all")), F.array(F.lit("")), label)
+    head = table(spark, sf_dir, "supplier").select(F.concat(F.lit("enduser-"), F.col("s_name")).alias("file"), F.posexplode(top).alias("place", "cells"))
+    first = F.lit(-(1 << 63)).cast("long")
+    return _write_files(head.withColumn("place", first + F.col("place")).unionByName(body), folder)

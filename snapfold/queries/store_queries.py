@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from snapfold import bindings as b
 from snapfold.operators import history as weeks
 from snapfold.plans import reports, update
-from snapfold.queries import lookup_queries, plan_queries  # noqa: F401
+from snapfold.queries import claim_queries, lookup_queries, plan_queries  # noqa: F401
 from snapfold.queries.registry import query, same_rows_as
 from snapfold.session import work_folder
 from snapfold.sources import exports
@@ -99,6 +99,20 @@ def stored_claims(spark, sf_dir):
     return reports.claim_history(store, "2001").select("quote", "claim_qty", "claim_val", "claim_pn", "distri")
 
 
+@same_rows_as("enduser_followup")
+def enduser_job(spark, sf_dir):
+    """End-user files, stored claims and the stored follow-up, folded into the next follow-up table."""
+    folder = b.enduser_files(spark, sf_dir, work_folder(spark, "enduser-files"))
+    claims = Store(spark, work_folder(spark, "claims"))
+    reports.run_claims(claims, b.claim_sources(spark, sf_dir), "2001")
+    store = Store(spark, work_folder(spark, "followup"))
+    store.write("followup", b.followup_master(spark, sf_dir), _BEFORE)
+    store.commit(_BEFORE)
+    table = reports.run_enduser(store, folder, reports.claim_history(claims, "2001"), "2001",
+                                excluded_owners=["Supplier#000000003"], glob="*.txt")
+    return table.drop("seq")
+
+
 @same_rows_as("dedup_opty_price")
 def stored_dedup(spark, sf_dir):
     store = Store(spark, work_folder(spark, "dedup"))

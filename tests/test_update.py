@@ -8,7 +8,7 @@ from conftest import rows
 from snapfold import schema
 from snapfold.config import Config
 from snapfold.operators import clean, history
-from snapfold.plans import replay, update
+from snapfold.plans import replay, reports, update
 from snapfold.sources import store as store_module
 from snapfold.sources.store import Store
 from snapfold.streaming import counters
@@ -307,6 +307,40 @@ def test_late_rows_are_counted_and_weeks_close(spark, store, tmp_path):
     assert {r["week"] for r in store.read("open", store.latest()).collect()} == set(monday[1:])
 
 
+def test_rejects_are_stored_and_unreadable_files_change_nothing(spark, store, tmp_path):
+    path = write(tmp_path, "a.csv", records=[record(), record(opty="O2"), record(opty="O3")[:4], record(opty="O4", created="soon")])
+    version = replay.run_exports(store, path, "path")
+    assert [(r["status"], r["reasons"]) for r in store.read("rejects", version).orderBy("line_no").collect()] == [
+        ("rejected", ["too few cells"]), ("accepted", ["unreadable created"])]
+    checks = store.read("checks", version).first()
+    assert (checks["n_accepted"], checks["n_rejected"], checks["n_footer"]) == (3, 1, 1)
+    assert store.read("counts", version).first()["n_read"] == 4  # with the footer, which the cleaning drops
+    bad = write(tmp_path, "b.csv", records=[record()[:4], record()[:5], record()])
+    with pytest.raises(ValueError, match="2 records rejected"):
+        replay.run_exports(store, bad, "path")
+    assert store.latest() == version
+
+
+def test_enduser_files_become_the_followup(spark, store, tmp_path):
+    labels = [label for label, _ in schema.ENDUSER_LABELS]
+
+    def row_of(**values):
+        return [values.get(name, "") for _, name in schema.ENDUSER_LABELS]
+
+    def file(name, *records):
+        (tmp_path / name).write_text("\n".join(",".join(f'"{c}"' for c in r) for r in [["notice"], labels, *records]) + "\n")
+        return str(tmp_path / name)
+
+    claims = spark.createDataFrame([("Q1", "P", 2.0, 5.0)], "quote string, claim_pn string, claim_qty double, claim_val double")
+    first = dict(opty="O1", part_number="P", quote="Q1", customer="C", owner="A", created="6/3/2025", volume="4")
+    one = reports.run_enduser(store, file("1.csv", row_of(**first)), claims, "1")
+    assert (one.first()["claim_total"], one.first()["created_period"], one.first()["comment"]) == (10, "Q2FY25", "")
+    store.write("followup", one.withColumn("comment", F.lit("typed in")), "1b")
+    store.commit("1b", "1")
+    two = reports.run_enduser(store, file("2.csv", row_of(**first), row_of(**first | {"opty": "O2"})), claims, "2")
+    assert sorted((r["opty"], r["comment"], r["claim_qty"]) for r in two.collect()) == [("O1", "typed in", 2), ("O2", "", 2)]
+
+
 def test_config_is_checked():
     with pytest.raises(ValueError):
         Config(log_key="day")
