@@ -30,10 +30,12 @@ DECLARED_SMOOTHING = 0.5
 #: Languages, at most; a label beyond that is an error in the data.
 MAX_LANGUAGES = 200
 
-_HIDDEN = re.compile(
-    rb"<!--.*?-->|<(script|style|nav|header|footer|aside|template|title)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE
-)
-_DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
+#: Elements whose content is not text of the page.
+_UNSEEN = (b"script", b"style", b"nav", b"header", b"footer", b"aside", b"template", b"title")
+_OPENS = re.compile(rb"<(?:(!--)|(" + b"|".join(_UNSEEN) + rb")\b)?", re.IGNORECASE)
+_CLOSES = {b"!--": re.compile(rb"-->"), **{name: re.compile(rb"</" + name + rb"\s*>", re.IGNORECASE) for name in _UNSEEN}}
+_HTML = re.compile(rb"<html\b", re.IGNORECASE)
+_LANG = re.compile(rb"\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
 _ENTITY = re.compile(rb"&[A-Za-z0-9#]+;")
 #: ASCII letters in lower case; bytes beyond ASCII as they are; all else a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -50,7 +52,26 @@ def triples(text: bytes) -> np.ndarray:
 
 
 def visible(html: bytes) -> bytes:
-    return _ENTITY.sub(b" ", _HIDDEN.sub(b" ", html))
+    """``html`` without comments, unseen elements, tags and entities, a space for each.
+
+    What is opened and never closed counts as a tag. One way forward: an end that was once not found is not searched for
+    again, so a page of open tags takes no longer than any other.
+    """
+    kept, at, seek, endless = [], 0, 0, set()
+    while opened := _OPENS.search(html, seek):
+        kind = (opened[1] or opened[2] or b"").lower()
+        closed = None
+        if kind and kind not in endless:
+            closed = _CLOSES[kind].search(html, opened.end())
+            if closed is None:
+                endless.add(kind)
+        end = closed.end() if closed else html.find(b">", opened.end()) + 1
+        if not end:  # every kind of end has this sign, so there is none further on
+            break
+        kept.append(html[at : opened.start()])
+        at = seek = end
+    kept.append(html[at:])
+    return _ENTITY.sub(b" ", b" ".join(kept))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -90,8 +111,14 @@ def text_evidence(html: bytes | None, table: np.ndarray) -> np.ndarray:
 
 
 def declared_language(html: bytes | None) -> str | None:
-    found = _DECLARED.search(html or b"")
-    return found[1].decode().lower() if found else None
+    """The first ``lang`` inside an html tag, in lower case. Tags are read one after another, each once."""
+    page, at = html or b"", 0
+    while tag := _HTML.search(page, at):
+        end = page.find(b">", tag.end())
+        at = len(page) if end < 0 else end
+        if found := _LANG.search(page, tag.end(), at):
+            return found[1].decode().lower()
+    return None
 
 
 def softmax(logs: Column) -> Column:

@@ -1,4 +1,7 @@
 import math
+import random
+import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -100,3 +103,29 @@ def test_query_agrees_with_the_markup(spark, data):
     rows = op1_language_id(spark, data).collect()
     assert len(rows) == spark.read.parquet(f"{data}/pages.parquet").count()
     assert sum(r.lang == r.declared for r in rows) >= 0.95 * len(rows)
+
+
+HIDDEN = re.compile(
+    rb"<!--.*?-->|<(script|style|nav|header|footer|aside|template|title)\b.*?</\1\s*>|<[^>]*>", re.DOTALL | re.IGNORECASE
+)
+DECLARED = re.compile(rb"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", re.IGNORECASE)
+
+
+def test_tags_against_one_pattern():
+    rng = random.Random(4)
+    parts = [b"<nav>", b"</nav >", b"</NAV>", b"<!--", b"-->", b"<", b">", b" word ", b"<script x>", b"</script>", b"<navy>", b"&amp;",
+             b"<html ", b"lang", b"=", b" lang='en'", b"xlang=de", b"</", b"\n"]
+    for _ in range(5000):
+        html = b"".join(rng.choices(parts, k=rng.randint(0, 14)))
+        assert language.visible(html) == re.sub(rb"&[A-Za-z0-9#]+;", b" ", HIDDEN.sub(b" ", html))
+        found = DECLARED.search(html)
+        assert language.declared_language(html) == (found[1].decode().lower() if found else None)
+
+
+def test_pages_of_open_tags_take_linear_time():
+    start = time.process_time()
+    for part in (b"<nav>", b"<!--", b"<", b"<html ", b"</nav ", b"<nav><aside><!--><title>"):
+        page = part * (10_000_000 // len(part))
+        language.visible(page)
+        assert language.declared_language(page) is None
+    assert time.process_time() - start < 60
