@@ -1,8 +1,8 @@
 """Benchmark passages in texts, found by one Aho-Corasick automaton over the normalised benchmark.
 
-A text is normalised to its words (ASCII letters in lower case, digits, everything beyond ASCII), each after one
-space. The patterns are the windows of ``window`` words of every item, a space at either end, so a match starts and
-ends with whole words. One scan of the normalised text finds all windows; word numbers lead back to the original.
+A text is normalised to its words (ASCII letters in lower case, digits, everything beyond ASCII), and each word to
+its number among the benchmark's. The patterns are the windows of ``window`` numbers of every item. One scan of a text's
+numbers finds all windows; the places of the words lead back to the original.
 """
 
 from __future__ import annotations
@@ -33,37 +33,44 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
-def windows(words: list[bytes], size: int) -> set[bytes]:
+def windows(words: list[int], size: int) -> set[tuple[int, ...]]:
     """All runs of ``size`` words, or all words where there are fewer; none of no words."""
     if not words:
         return set()
-    return {b" " + b" ".join(words[k : k + size]) + b" " for k in range(max(1, len(words) - size + 1))}
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
 
 
 class PassageFinder:
+    """The automaton reads numbers of words, not characters: a tenth of the states, and matches are whole words."""
+
     def __init__(self, items: list[tuple[int, bytes]], size: int):
-        holders = defaultdict(set)
+        #: numbers of the benchmark's words from 1 on; all other words are 0, which no window has
+        self.numbers: dict[bytes, int] = {}
+        holders: dict[tuple[int, ...], int | set] = {}
         for item, text in items:
-            for window in windows(normal_words(text), size):
-                holders[window].add(item)
-        self.automaton = ahocorasick.Automaton()
-        for window, ids in holders.items():
-            self.automaton.add_word(window.decode("latin-1"), (len(window), window.count(b" ") - 1, tuple(sorted(ids))))
-        if holders:
+            numbered = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in normal_words(text)]
+            for window in windows(numbered, size):
+                held = holders.setdefault(window, item)
+                if isinstance(held, set):
+                    held.add(item)
+                elif held != item:
+                    holders[window] = {held, item}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        while holders:
+            window, held = holders.popitem()
+            self.automaton.add_word(window, (len(window), held))
+        if self.numbers:
             self.automaton.make_automaton()
 
     def find(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], list[int]]:
         """Number of words, the word ranges inside windows (merged, in order), the items whose windows occur."""
         words = normal_words(text or b"")
-        if not words or not len(self.automaton):
+        if not words or not self.numbers:
             return len(words), [], []
-        line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        ranges, items, at, word = [], set(), 0, 0
-        for end, (length, n, ids) in self.automaton.iter(line):
-            items.update(ids)
-            word += line.count(" ", at, end)  # words that have ended before the closing space
-            at = end
-            ranges.append((word - n, word))
+        number, ranges, items = self.numbers.get, [], set()
+        for last, (n, held) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+            items.update(held if isinstance(held, set) else (held,))
+            ranges.append((last + 1 - n, last + 1))
         merged: list[tuple[int, int]] = []
         for a, b in sorted(ranges):
             if merged and a <= merged[-1][1]:
@@ -117,7 +124,8 @@ def with_passages(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "
 
     ``benchmark`` has item_id and text; rows without an id or without words are no items, rows of one id are one item.
     The benchmark is sent to the executors in blocks of about ``BLOCK_CHARS`` characters, one automaton each; the
-    results of several blocks are merged word by word by a second scan for the spans found.
+    results of several blocks are merged word by word by a second scan for the spans found. A column ``out`` that
+    ``docs`` has is replaced.
     """
     spark = docs.sparkSession
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter(
@@ -133,7 +141,7 @@ def with_passages(docs: DataFrame, benchmark: DataFrame, out: str, text: str = "
         blocks.append(free_name(result, "found"))
         result = result.withColumn(blocks[-1], _search(rows, window)(text))
     if n_blocks == 1:
-        return result.withColumnRenamed(blocks[0], out)
+        return result.withColumn(out, F.col(blocks[0])).drop(blocks[0])
     both = {c: F.flatten(F.array(*(F.col(f"{b}.{c}") for b in blocks))) for c in ("spans", "items")}
     merge = F.arrow_udf(_merge_spans, "n_hit long, spans array<struct<start:int,end:int>>")
     joined = merge(F.col(text).cast("string"), both["spans"])

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +23,8 @@ from snapfold.llm import (
 )
 from snapfold.llm.rows import table
 
-TOKENIZERS = os.environ.get("SNAPFOLD_TOKENIZERS", "/opt/tokenizers")
-UNIGRAM_FILE = f"{TOKENIZERS}/piece_bpe_32k.model"
-BPE_FILE = f"{TOKENIZERS}/byte_bpe_50k.json"
+UNIGRAM_FILE = public_tokenizers.path("piece_bpe_32k.model")
+BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _sha(strings: Column) -> Column:
@@ -47,6 +45,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("found.items").cast("long").alias("n_items"),
         _sha(F.array_sort(F.col("found.items").cast("array<string>"))).alias("items_sha256"),
         (F.col("found.n_hit") > 0).alias("contaminated"),
+        F.array_join(F.transform("found.spans", lambda s: F.concat_ws(":", *(s[c].cast("string") for c in ("start", "end")))), ",").alias("spans"),
     )
 
 
@@ -172,12 +171,20 @@ g AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s
 x AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS s FROM (
   SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM g))),
 m AS (SELECT doc_id, item_id, k, x.n FROM x JOIN g USING (n, s)),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+q AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS p FROM m),
+h AS (SELECT doc_id, count(*) AS n_hit FROM q GROUP BY doc_id),
+o AS (SELECT doc_id, p, length(w[p]) AS n, sum(length(gaps[p]) + coalesce(length(w[p - 1]), 0)) OVER (PARTITION BY doc_id ORDER BY p) AS a
+      FROM (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w,
+            string_split_regex({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS gaps, unnest(range(1, len(w) + 1)) AS p
+            FROM documents WHERE doc_id IN (SELECT doc_id FROM h))),
+u AS (SELECT doc_id, min(a)::BIGINT AS a, max(a + n)::BIGINT AS b
+      FROM (SELECT *, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS island FROM o JOIN q USING (doc_id, p)) GROUP BY doc_id, island),
+v AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM u GROUP BY doc_id),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN v USING (doc_id)"""
 
 _OP9_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_UNBLANK}') AS w,

@@ -50,6 +50,7 @@ def test_spans_lie_in_the_original(spark, docs_of):
         if r.doc_id == 1:
             spans = [r.text[s.start : s.end] for s in r.hits.spans]
             assert spans == ["WAS ist das--für ein DING, das so   läuft", "Short"]
+    assert decontaminate.with_passages(docs, bench(spark, items), "found", window=9).columns == docs.columns
     clean = decontaminate.clean_of(docs, bench(spark, items), window=9)
     assert clean.columns == docs.columns
     assert sorted(r.doc_id for r in clean.collect()) == [2, 3, 4]
