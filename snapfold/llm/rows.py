@@ -79,7 +79,8 @@ def spread_lookup(rows: DataFrame, values: DataFrame, key: str, count: str) -> D
     """``rows`` inner join ``values`` (one row per key, with the key's number of rows in ``count``) on ``key``.
 
     Keys with far more rows than a task should take are dealt over several tasks and only their value row is
-    repeated. The limit rises with the input, so at most ``MAX_HOT_KEYS`` keys are hot and can be broadcast.
+    repeated. The limit rises with the input, so at most ``MAX_HOT_KEYS`` keys are hot and can be broadcast. A row's place
+    follows from its columns, so a task that runs again deals its rows as before.
     """
     total = values.agg(F.sum(count)).first()[0] or 0
     limit = max(ROWS_PER_TASK, total // MAX_HOT_KEYS)
@@ -87,7 +88,7 @@ def spread_lookup(rows: DataFrame, values: DataFrame, key: str, count: str) -> D
     share = F.ceil(F.col(count) / F.lit(limit)).cast("int")
     hot = F.broadcast(values.filter(F.col(count) > limit).select(key, share.alias(parts)))
     dealt = rows.join(hot, key, "left").withColumn(
-        salt, F.coalesce(F.floor(F.rand(7) * F.col(parts)).cast("int"), F.lit(0))
+        salt, F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col(parts)).cast("int"), F.lit(0))
     )
     repeated = values.withColumn(salt, F.explode(F.sequence(F.lit(0), F.greatest(share, F.lit(1)) - 1)))
     return dealt.join(repeated.drop(count), [key, salt]).drop(parts, salt)

@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from snapfold.llm.rows import free_name, spread_lookup, text_function, written
 
 SEED = 42
-#: Fingerprints of a tile, at least and at most; between them a 64th of all.
-TILE_ROWS = (1 << 15, 1 << 21)
+#: Fingerprints of a tile, at least and at most; between them a 64th of all. A pair of the largest tiles keeps a task busy
+#: for about a minute; of more fingerprints there are more pairs.
+TILE_ROWS = (1 << 15, 1 << 17)
+#: Tasks that the pairs of tiles are dealt to, at most.
+PAIR_TASKS = 20_000
 #: Fingerprints of a block inside a pair of tiles.
 BLOCK = 512
 #: Links held back before they are folded into the forest.
@@ -170,7 +173,8 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     # a tile travels as one row, at most TILE_ROWS[1] longs, to each of its pairs
     packed = tiled.groupBy("tile").agg(F.collect_list("fp").alias("prints"))
     paired = packed.join(F.broadcast(member), "tile").select("pair", "side", "prints")
-    return paired.groupBy("pair").applyInPandas(compare, "a long, b long")
+    # a task for each pair: few bytes are much work here, so tasks are not merged by their bytes
+    return paired.repartition(max(1, min(pair, PAIR_TASKS)), "pair").groupBy("pair").applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -184,12 +188,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("w"))
         )
-        least = both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"))
-        large = both.filter("w > u").join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("w"))
-        small = large.filter("u <> w").distinct()
-        floor = small.groupBy("u").agg(F.min("w").alias("m"))
+        # the centre of a star has a row for each neighbour, so its neighbours are dealt over tasks
+        least = written(both.groupBy("u").agg(F.least(F.min("w"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = spread_lookup(both.filter("w > u"), least, "u", "n").select(F.col("w").alias("u"), F.col("m").alias("w"))
+        small = written(large.filter("u <> w").distinct(), "small")
+        floor = written(small.groupBy("u").agg(F.min("w").alias("m"), F.count("*").alias("n")), "floor")
         edges = written(
-            small.join(floor, "u")
+            spread_lookup(small, floor, "u", "n")
             .select(F.col("w").alias("a"), F.col("m").alias("b"))
             .unionByName(floor.select(F.col("u").alias("a"), F.col("m").alias("b")))
             .filter("a <> b")
@@ -223,8 +228,8 @@ def _rooted(docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int)
     rooted = nodes.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select(
         "fp", "first", "n", F.coalesce("root", "fp").alias("root")
     )
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    per_print = rooted.join(smallest, "root").select("fp", "n", "component", "root")
+    smallest = written(rooted.groupBy("root").agg(F.min("first").alias("component"), F.count("*").alias("prints")), "smallest")
+    per_print = spread_lookup(rooted, smallest, "root", "prints").select("fp", "n", "component", "root")
     return spread_lookup(hashed, per_print, "fp", "n").select("doc_id", "fp", "component", "root")
 
 
