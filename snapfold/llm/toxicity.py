@@ -1,9 +1,8 @@
 """Toxicity by the nearest labelled examples, with exact TF-IDF cosine over a block-max inverted index.
 
 Terms are words and their beginnings, all that the examples have, known by their 64-bit hashes. Those that tell toxic
-examples from others weigh more. The index holds the examples' vectors in blocks; per block and term it knows the largest
-weight, so a query leaves out the blocks that cannot change its neighbours; where that would leave most of them, all are
-scored. Neighbours vote with their cosine; votes are calibrated on examples that are not in the index.
+examples from others weigh more. The index holds the examples' vectors in blocks of like ones; per block and term it knows
+the largest weight, so a query leaves out the blocks that cannot change its neighbours. Neighbours vote with their cosine; votes are calibrated on examples that are not in the index.
 """
 
 from __future__ import annotations
@@ -33,20 +32,22 @@ EXAMPLES = 12_000
 LEAST_WEIGHT, FULL_ODDS, CERTAIN = 0.05, 8.0, (2.0, 4.0)
 #: Neighbours that vote, and the weight of the base rate beside them.
 NEIGHBOURS, PRIOR_WEIGHT = 15, 3.0
-#: Examples in a block of the index.
-BLOCK = 64
-#: Terms that this share of the examples has are held densely, which is faster.
+#: Examples in a block of the index, at most.
+BLOCK = 1024
+#: Groups of like examples, the most common terms that tell them apart, and rounds of finding them.
+GROUPS, TOLD_BY, ROUNDS = 8, 256, 6
+#: Terms that this share of a block's examples has are held densely, which is faster.
 DENSE_SHARE = 1 / 16
+#: Queries whose lists are summed together.
+TOGETHER = 16
 #: Rounding of sums in single precision, as a share of them.
 ROUNDING = 1e-4
-#: Blocks are tried for queries whose heaviest so many terms make up most of their length.
-HEAVY = 16
 #: Every so-manieth example is kept for calibration.
 CALIBRATE_EVERY = 5
 #: From this score on a text is called toxic.
 TOXIC_FROM = 0.3
 REMEMBERED = 300_000
-#: Values that an index takes in at a time.
+#: Values that are looked at together while groups are found.
 PART = 1_000_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _BEGINNINGS = (4, 6)
@@ -115,53 +116,70 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
-class Postings:
-    """Per term, places (examples or blocks) and values: densely for common terms, as lists for the others.
+class Block:
+    """Examples that are like each other: weights of the block's common terms as a matrix, of the others as lists, and
+    the largest weight of each term."""
+
+    def __init__(self, cols: np.ndarray, places: np.ndarray, vals: np.ndarray, n_terms: int, size: int):
+        order = np.argsort(cols, kind="stable")
+        cols, places, vals = cols[order], places[order], vals[order].astype(np.float32)
+        terms, first, counts = np.unique(cols, return_index=True, return_counts=True)
+        self.size = size
+        #: where each term of the vocabulary stands among the block's, 0 for those it lacks
+        self.at = np.zeros(n_terms, dtype=np.int32)
+        self.at[terms] = np.arange(1, len(terms) + 1)
+        self.most = np.concatenate([[0], np.maximum.reduceat(vals, first) if len(terms) else []]).astype(np.float32)
+        common = counts >= max(2.0, DENSE_SHARE * size)
+        self.row = np.concatenate([[-1], np.where(common, np.cumsum(common) - 1, -1)]).astype(np.int32)
+        dense = np.repeat(common, counts)
+        self.dense = np.zeros((int(common.sum()), size), dtype=np.float32)
+        self.dense[np.repeat(self.row[1:], counts)[dense], places[dense]] = vals[dense]
+        self.places, self.vals = places[~dense].astype(np.int32), vals[~dense]
+        self.starts = np.cumsum(np.concatenate([[0, 0], np.where(common, 0, counts)]))
+
+    def bounds(self, terms: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """What no example of the block can score more than, of each of ``n`` queries laid end to end."""
+        return np.bincount(owner, weights * self.most[self.at[terms]], n)
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """Per query and example, the sum of weight times weight."""
+        at = self.at[terms]
+        row = self.row[at]
+        common, rare = row >= 0, (row < 0) & (at > 0)
+        asked = np.zeros((n, len(self.dense)), dtype=np.float32)
+        asked[owner[common], row[common]] = weights[common]
+        out = asked @ self.dense
+        at, weights, owner = at[rare], weights[rare].astype(np.float32), owner[rare]
+        a, b = self.starts[at], self.starts[at + 1]
+        cuts = np.searchsorted(owner, np.arange(0, n + TOGETHER, TOGETHER))
+        for k, low, high in zip(range(0, n, TOGETHER), cuts.tolist(), cuts[1:].tolist(), strict=False):
+            if low < high:
+                x, y = a[low:high], b[low:high]
+                lists = ranges(x, y)
+                place = self.places[lists] + np.repeat((owner[low:high] - k) * self.size, y - x)
+                part = out[k : k + TOGETHER]
+                sums = np.bincount(place, self.vals[lists] * np.repeat(weights[low:high], y - x), part.size)
+                part += sums.reshape(part.shape)
+        return out
 
-    ``places`` rise; of several values of a term at a place the largest counts.
-    """
 
-    def __init__(self, cols: np.ndarray, places: np.ndarray, vals: np.ndarray, n_terms: int, n_places: int, common: np.ndarray):
-        self.n_places = n_places
-        self.row = np.full(n_terms, -1, dtype=np.int32)
-        self.row[common] = np.arange(len(common))
-        self.dense = np.zeros((len(common), n_places), dtype=np.float32)
-        # in parts, since what is in between would take more memory than the result
-        for k in range(0, len(cols), PART):
-            row, at = self.row[cols[k : k + PART]], slice(k, k + PART)
-            held = row >= 0
-            np.maximum.at(self.dense, (row[held], places[at][held]), vals[at][held].astype(np.float32))
-        counts = np.where(self.row < 0, np.bincount(cols, minlength=n_terms), 0)
-        limits = np.searchsorted(np.cumsum(counts), np.arange(PART, counts.sum() + PART, PART)) if n_terms else []
-        lists, sizes, low = [], np.zeros(n_terms + 1, dtype=np.int64), 0
-        for high in [*(int(x) + 1 for x in limits if x < n_terms), n_terms]:
-            inside = np.flatnonzero((cols >= low) & (cols < high))
-            inside = inside[self.row[cols[inside]] < 0]
-            inside = inside[np.argsort(cols[inside], kind="stable")]
-            low, term, place = high, cols[inside], places[inside]
-            first = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
-            if len(first):
-                lists.append((place[first], np.maximum.reduceat(vals[inside].astype(np.float32), first)))
-                sizes[1:] += np.bincount(term[first], minlength=n_terms)
-        self.places = np.concatenate([x for x, _ in lists] or [np.zeros(0)]).astype(np.int32)
-        self.vals = np.concatenate([x for _, x in lists] or [np.zeros(0)]).astype(np.float32)
-        self.starts = np.cumsum(sizes)
-
-    def sums(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Per query and place, the sum of weight times value."""
-        weights = np.zeros((len(queries), len(self.dense)), dtype=np.float32)
-        for q, (terms, w) in enumerate(queries):
-            row = self.row[terms]
-            weights[q, row[row >= 0]] = w[row >= 0]
-        out = weights @ self.dense
-        for q, (terms, w) in enumerate(queries):
-            rare = self.row[terms] < 0
-            a, b = self.starts[terms[rare]], self.starts[terms[rare] + 1]
-            lists = [slice(*ends) for ends in zip(a.tolist(), b.tolist(), strict=True)]
-            if lists:
-                values = np.concatenate([self.vals[x] for x in lists]) * np.repeat(w[rare], b - a)
-                out[q] += np.bincount(np.concatenate([self.places[x] for x in lists]), values, self.n_places)
-        return out
+def alike(cols: np.ndarray, rows: np.ndarray, vals: np.ndarray, n: int) -> np.ndarray:
+    """A group for each of ``n`` examples: k-means by cosine over the most common terms."""
+    counts = np.bincount(cols)
+    common = np.argsort(-counts, kind="stable")[:TOLD_BY]
+    place = np.full(len(counts), -1, dtype=np.int32)
+    place[common] = np.arange(len(common))
+    told = np.zeros((n, len(common)), dtype=np.float32)
+    for k in range(0, len(cols), PART):
+        at = place[cols[k : k + PART]]
+        told[rows[k : k + PART][at >= 0], at[at >= 0]] = vals[k : k + PART][at >= 0]
+    told /= np.maximum(np.linalg.norm(told, axis=1, keepdims=True), 1e-9)
+    centres = told[np.linspace(0, n - 1, min(n, GROUPS)).astype(np.int64)]
+    for _ in range(ROUNDS):
+        group = (told @ centres.T).argmax(axis=1)
+        sums = np.vstack([told[group == g].sum(axis=0) for g in range(len(centres))])
+        centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    return group
 
 
 def tf_idf(terms, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,8 +192,9 @@ def tf_idf(terms, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class BlockMaxIndex:
     """Examples as unit vectors, equal ones as one entry with summed weights.
 
-    ``examples``: (doc_id, terms, weights, mass, toxic mass). Entries are ordered by their heaviest term, so that a
-    block holds similar ones and its maxima are sharp.
+    ``examples``: (doc_id, terms, weights, mass, toxic mass). Blocks hold entries of one group of like examples, by
+    length, so that their maxima are sharp. A query asks its most promising block first; of the others only those whose
+    bound reaches the ``k``-th best score so far. ``scored`` and ``skipped`` count the entries of either kind.
     """
 
     def __init__(self, examples, n_terms: int):
@@ -186,26 +205,35 @@ class BlockMaxIndex:
             entry[0] = min(entry[0], doc_id)
             entry[3] += mass
             entry[4] += toxic
-        entries = sorted(merged.values(), key=lambda e: (int(e[1][e[2].argmax()]), e[0]))
+        entries = sorted(merged.values(), key=lambda e: e[0])
         del merged
-        self.ids = np.array([e[0] for e in entries], dtype=np.int64)
-        self.mass, self.toxic = (np.array([e[k] for e in entries]) for k in (3, 4))
-        self.n_blocks, self.query = -(-len(entries) // BLOCK), np.zeros(n_terms)
-        self.ends = np.cumsum([0, *(len(e[1]) for e in entries)])
-        rows = np.repeat(np.arange(len(entries), dtype=np.int32), np.diff(self.ends))
-        self.cols = np.concatenate([e[1] for e in entries] or [np.zeros(0)]).astype(np.int32, copy=False)
-        for e in entries:
-            e[1] = None
-        self.vals = np.concatenate([e[2] for e in entries] or [np.zeros(0)])
+        sizes = np.array([len(e[1]) for e in entries], dtype=np.int64)
+        ids, mass, toxic = (np.array([e[k] for e in entries], dtype=kind) for k, kind in ((0, np.int64), (3, float), (4, float)))
+        ends = np.cumsum(np.concatenate([[0], sizes]))
+        self.cols, self.vals = np.empty(ends[-1], dtype=np.int32), np.empty(ends[-1])
+        for e, a, b in zip(entries, ends.tolist(), ends[1:].tolist(), strict=False):
+            self.cols[a:b], self.vals[a:b] = e[1], e[2]
+            e[1] = e[2] = None  # a vector is held once
         n = len(entries)
         del entries
-        common = np.flatnonzero(np.bincount(self.cols, minlength=n_terms) >= max(2.0, DENSE_SHARE * n))
-        self.postings = Postings(self.cols, rows, self.vals, n_terms, n, common)
-        self.most = Postings(self.cols, rows // BLOCK, self.vals, n_terms, self.n_blocks, common)
+        group = alike(self.cols, np.repeat(np.arange(n, dtype=np.int32), sizes), self.vals, n) if n else np.zeros(0, np.int64)
+        order = np.lexsort((sizes, group))
+        self.ids, self.mass, self.toxic = ids[order], mass[order], toxic[order]
+        self.low, self.high, self.query = ends[:-1][order], ends[1:][order], np.zeros(n_terms)
+        self.scored = self.skipped = 0
+        self.firsts, self.blocks = [], []
+        cuts = np.flatnonzero(np.diff(group[order], prepend=-1)).tolist() + [n]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            for k in range(start, end, BLOCK):
+                last = min(k + BLOCK, end)
+                at = ranges(self.low[k:last], self.high[k:last])
+                places = np.repeat(np.arange(last - k, dtype=np.int32), sizes[order[k:last]])
+                self.firsts.append(k)
+                self.blocks.append(Block(self.cols[at], places, self.vals[at], n_terms, last - k))
 
     def exact(self, terms: np.ndarray, weights: np.ndarray, entries: np.ndarray) -> np.ndarray:
         """The cosines with these entries, in double precision."""
-        a, b = self.ends[entries], self.ends[entries + 1]
+        a, b = self.low[entries], self.high[entries]
         at = ranges(a, b)
         self.query[terms] = weights
         found = np.add.reduceat(self.query[self.cols[at]] * self.vals[at], np.cumsum(b - a) - (b - a))
@@ -214,41 +242,50 @@ class BlockMaxIndex:
 
     def best(self, terms: np.ndarray, weights: np.ndarray, entries: np.ndarray, k: int) -> list[tuple[float, int]]:
         scores = zip(np.round(self.exact(terms, weights, entries), 12).tolist(), entries.tolist(), strict=True)
-        return sorted(((s, e) for s, e in scores if s > 0), key=lambda x: (-x[0], x[1]))[:k]
+        return sorted(((s, e) for s, e in scores if s > 0), key=lambda x: (-x[0], self.ids[x[1]]))[:k]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The ``k`` entries of largest cosine above 0, as (cosine, entry); the smaller entry first where equal."""
+        """The ``k`` entries of largest cosine above 0, as (cosine, entry); the smaller id first where equal."""
         return self.nearest_many([(terms, weights)], k)[0]
 
     def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        n = len(queries)
         out: list = [[] for _ in queries]
-        asked = [q for q, (terms, _) in enumerate(queries) if len(terms) and len(self.ids)]
-        if not asked:
+        if not len(self.ids) or not any(len(terms) for terms, _ in queries):
             return out
-        few = max(1, self.n_blocks // 64)
-        top = lambda w: float((np.partition(w, -HEAVY)[-HEAVY:] ** 2).sum()) if len(w) > HEAVY else 1.0
-        tried = [q for q in asked if top(queries[q][1]) >= 0.5]
-        whole = [q for q in asked if q not in set(tried)]
-        for q, bound in zip(tried, self.most.sums([queries[q] for q in tried]), strict=True):
-            bound *= 1 + ROUNDING
-            first = np.argsort(-bound, kind="stable")[:few]
-            found = self.best(*queries[q], self._entries(first), k)
-            left = np.setdiff1d(np.flatnonzero(bound >= (found[-1][0] - 1e-9 if len(found) == k else 0)), first)
-            if len(left) > few:
-                whole.append(q)
-            else:
-                more = self.best(*queries[q], self._entries(left), k) if len(left) else []
-                out[q] = sorted(found + more, key=lambda x: (-x[0], x[1]))[:k]
-        for q, scores in zip(whole, self.postings.sums([queries[q] for q in whole]), strict=True):
-            least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-            # what is 0 shares no term
-            near = np.flatnonzero((scores >= least * (1 - ROUNDING)) & (scores > 0))
+        terms, weights = (np.concatenate([q[side] for q in queries]) for side in (0, 1))
+        owner = np.repeat(np.arange(n), [len(q[0]) for q in queries])
+        bounds = np.vstack([block.bounds(terms, weights, owner, n) for block in self.blocks]) * (1 + ROUNDING)
+        first = bounds.argmax(axis=0)
+        scores, least = np.zeros((n, len(self.ids)), dtype=np.float32), np.zeros(n)
+        for b, block in enumerate(self.blocks):
+            asked = np.flatnonzero(first == b)
+            own = self._score(b, asked, terms, weights, owner, scores)
+            if block.size >= k and len(asked):
+                least[asked] = np.partition(own, -k, axis=1)[:, -k]
+        for b, block in enumerate(self.blocks):
+            wanted = (first != b) & (bounds[b] >= least * (1 - ROUNDING)) & (bounds[b] > 0)
+            self._score(b, np.flatnonzero(wanted), terms, weights, owner, scores)
+            self.skipped += block.size * int((~wanted & (first != b)).sum())
+        for q, found in enumerate(scores):
+            last = np.partition(found, -k)[-k] if len(found) > k else 0.0
+            # what is 0 shares no term, or lies in a block that was skipped
+            near = np.flatnonzero((found >= last * (1 - ROUNDING)) & (found > 0))
             out[q] = self.best(*queries[q], near, k) if len(near) else []
         return out
 
-    def _entries(self, blocks: np.ndarray) -> np.ndarray:
-        entries = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        return entries[entries < len(self.ids)]
+    def _score(self, b: int, asked: np.ndarray, terms, weights, owner, scores: np.ndarray) -> np.ndarray:
+        """The scores of block ``b`` for the queries ``asked``, also put into ``scores``."""
+        if not len(asked):
+            return scores[:0]
+        number = np.full(len(scores), -1)
+        number[asked] = np.arange(len(asked))
+        held = number[owner]
+        mine = held >= 0
+        found = self.blocks[b].scores(terms[mine], weights[mine], held[mine], len(asked))
+        scores[asked, self.firsts[b] : self.firsts[b] + self.blocks[b].size] = found
+        self.scored += found.size
+        return found
 
     def vote(self, neighbours: list[tuple[float, int]], base: float) -> float:
         """Toxic share of the neighbours, weighted by cosine and mass, with the base rate as one more voter."""
