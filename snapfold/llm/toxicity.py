@@ -46,7 +46,7 @@ ROUNDING = 1e-4
 CALIBRATE_EVERY = 5
 #: From this score on a text is called toxic.
 TOXIC_FROM = 0.3
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Values that are looked at together while groups are found.
 PART = 1_000_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -192,32 +192,33 @@ def tf_idf(terms, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class BlockMaxIndex:
     """Examples as unit vectors, equal ones as one entry with summed weights.
 
-    ``examples``: (doc_id, terms, weights, mass, toxic mass). Blocks hold entries of one group of like examples, by
+    ``examples``: (doc_id, terms, weights, mass, toxic mass), gone through twice, so that each vector is held once. Blocks hold entries of one group of like examples, by
     length, so that their maxima are sharp. A query asks its most promising block first; of the others only those whose
     bound reaches the ``k``-th best score so far. ``scored`` and ``skipped`` count the entries of either kind.
     """
 
     def __init__(self, examples, n_terms: int):
         merged: dict = {}
+        places = []
         for doc_id, terms, weights, mass, toxic in examples:
             key = xxhash.xxh128_digest(terms.tobytes() + np.round(weights, 12).tobytes())
-            entry = merged.setdefault(key, [doc_id, terms, weights, 0.0, 0.0])
+            entry = merged.setdefault(key, [doc_id, len(terms), 0.0, 0.0, len(merged)])
             entry[0] = min(entry[0], doc_id)
-            entry[3] += mass
-            entry[4] += toxic
-        entries = sorted(merged.values(), key=lambda e: e[0])
+            entry[2] += mass
+            entry[3] += toxic
+            places.append(entry[4])
+        ids, sizes, mass, toxic = (
+            np.array([e[k] for e in merged.values()], dtype=kind) for k, kind in enumerate((np.int64, np.int64, float, float))
+        )
+        n = len(merged)
         del merged
-        sizes = np.array([len(e[1]) for e in entries], dtype=np.int64)
-        ids, mass, toxic = (np.array([e[k] for e in entries], dtype=kind) for k, kind in ((0, np.int64), (3, float), (4, float)))
         ends = np.cumsum(np.concatenate([[0], sizes]))
         self.cols, self.vals = np.empty(ends[-1], dtype=np.int32), np.empty(ends[-1])
-        for e, a, b in zip(entries, ends.tolist(), ends[1:].tolist(), strict=False):
-            self.cols[a:b], self.vals[a:b] = e[1], e[2]
-            e[1] = e[2] = None  # a vector is held once
-        n = len(entries)
-        del entries
+        for place, example in zip(places, examples, strict=True):
+            own = slice(ends[place], ends[place + 1])
+            self.cols[own], self.vals[own] = example[1], example[2]
         group = alike(self.cols, np.repeat(np.arange(n, dtype=np.int32), sizes), self.vals, n) if n else np.zeros(0, np.int64)
-        order = np.lexsort((sizes, group))
+        order = np.lexsort((ids, sizes, group))
         self.ids, self.mass, self.toxic = ids[order], mass[order], toxic[order]
         self.low, self.high, self.query = ends[:-1][order], ends[1:][order], np.zeros(n_terms)
         self.scored = self.skipped = 0
@@ -422,14 +423,13 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, learn, text: str = "text",
 
         def run(texts):
             found = [vectors.counts(t.decode()) if t else NO_TERMS for t in texts]
-            out = [{"terms": t.astype(np.int32).tobytes(), "counts": c.astype(np.int32).tobytes()} for t, c in found]
-            return pa.array(out, pa.struct([("terms", pa.binary()), ("counts", pa.binary())]))
+            return pa.array([packed(t.astype(np.int32), c.astype(np.int32).tobytes()) for t, c in found], pa.binary())
 
         return run
 
-    vectors = source.select("doc_id", text_function(make_vectors, "terms binary, counts binary")("text").alias("v"))
-    vectors, path = vectors.select("doc_id", "v.*"), work_folder(docs.sparkSession, "toxic-vectors")
-    vectors.write.option("compression", "zstd").parquet(path)
+    vectors = source.select("doc_id", text_function(make_vectors, "binary")("text").alias("vector"))
+    path = work_folder(docs.sparkSession, "toxic-vectors")
+    vectors.write.parquet(path)
     vectors = docs.sparkSession.read.schema(vectors.schema).parquet(path)
     n_terms = len(vocabulary)
 
@@ -439,12 +439,12 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, learn, text: str = "text",
         for batch in batches:
             rows += len(batch)
             for k in range(0, len(batch), SLICE_ROWS):
-                terms = b"".join(batch.column(0).slice(k, SLICE_ROWS).to_pylist())
-                seen += np.bincount(np.frombuffer(terms, dtype=np.int32), minlength=n_terms)
+                terms = [unpack(v)[0] for v in batch.column(0).slice(k, SLICE_ROWS).to_pylist()]
+                seen += np.bincount(np.concatenate(terms), minlength=n_terms)
         some = np.flatnonzero(seen)
         yield pa.record_batch({"term": np.append(some, -1).astype(np.int32), "n": np.append(seen[some], rows)})
 
-    per_task = vectors.select("terms").mapInArrow(document_frequencies, "term int, n long")
+    per_task = vectors.select("vector").mapInArrow(document_frequencies, "term int, n long")
     frequency = per_task.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     weight *= inverse_frequencies(frequency["term"].to_numpy(), frequency["n"].to_numpy(), n_terms)
     learnt, aside, base = split(told, vocabulary, stands_for)
@@ -453,7 +453,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, learn, text: str = "text",
     def build():
         examples, _, weights = shared.value
         weights = np.frombuffer(zlib.decompress(weights))
-        return ToxicityModel(weights, index_of(unpacked(examples), weights, stands_for), base, [])
+        return ToxicityModel(weights, BlockMaxIndex(Weighted(examples, weights, stands_for), len(weights)), base, [])
 
     @F.arrow_udf("double")
     def vote(places: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -468,19 +468,19 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, learn, text: str = "text",
     steps = calibration(np.array([votes[k] for k in range(len(aside))], dtype=float), toxic, mass)
 
     @F.arrow_udf("score double, neighbours array<long>")
-    def judge(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = held_by_worker((token, "model"), build)
         model.steps = steps
-        for terms, counts in batches:
+        for vectors in batches:
             out = []
-            for k in range(0, len(terms), SLICE_ROWS):
-                keys = list(zip(*(x.slice(k, SLICE_ROWS).to_pylist() for x in (terms, counts)), strict=True))
+            for k in range(0, len(vectors), SLICE_ROWS):
+                keys = vectors.slice(k, SLICE_ROWS).to_pylist()
                 known = list(dict.fromkeys(keys))
-                judged = dict(zip(known, model.judge_many([tuple(np.frombuffer(x, np.int32) for x in v) for v in known]), strict=True))
+                judged = dict(zip(known, model.judge_many([unpack(v) for v in known]), strict=True))
                 out += [dict(zip(("score", "neighbours"), judged[key], strict=True)) for key in keys]
             yield pa.array(out, pa.struct([("score", pa.float64()), ("neighbours", pa.list_(pa.int64()))]))
 
-    return vectors.select("doc_id", judge.asNondeterministic()("terms", "counts").alias("j")).select("doc_id", "j.*")
+    return vectors.select("doc_id", judge.asNondeterministic()("vector").alias("j")).select("doc_id", "j.*")
 
 
 _held: dict = {}
@@ -501,27 +501,44 @@ def inverse_frequencies(terms: np.ndarray, n: np.ndarray, n_terms: int) -> np.nd
     return np.log((1 + n[terms < 0].sum()) / (1 + frequency)) + 1
 
 
+def packed(terms: np.ndarray, counts: bytes) -> bytes:
+    """Rising terms and their counts (both int32) as a few bytes."""
+    return zlib.compress(np.diff(terms, prepend=np.int32(0)).tobytes() + counts, 1)
+
+
+def unpack(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.frombuffer(zlib.decompress(vector), dtype=np.int32).reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), counts
+
+
 def unpacked(examples: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(doc_id, toxic, terms, counts) of each example."""
-    for doc_id, toxic, both in examples:
-        steps, counts = np.frombuffer(zlib.decompress(both), dtype=np.int32).reshape(2, -1)
-        yield doc_id, toxic, np.cumsum(steps, dtype=np.int32), counts
+    for doc_id, toxic, vector in examples:
+        yield doc_id, toxic, *unpack(vector)
+
+
+@dataclass
+class Weighted:
+    """Packed examples as the index takes them, worked out anew each time they are gone through."""
 
+    examples: list[tuple[int, int, bytes]]
+    weight: np.ndarray
+    mass: dict[int, float]
 
-def index_of(examples, weight: np.ndarray, mass: dict[int, float]) -> BlockMaxIndex:
-    entries = ((i, *tf_idf(t, c, weight), mass[toxic], mass[toxic] * toxic) for i, toxic, t, c in examples if len(t))
-    return BlockMaxIndex(entries, len(weight))
+    def __iter__(self):
+        for doc_id, toxic, terms, counts in unpacked(self.examples):
+            if len(terms):
+                yield doc_id, *tf_idf(terms, counts, self.weight), self.mass[toxic], self.mass[toxic] * toxic
 
 
 def split(told: DataFrame, vocabulary: np.ndarray, stands_for: dict[int, float]):
     """The examples of the index (four fifths of all), those for the calibration, and the base rate. The driver holds
     the examples packed."""
     rows = []
-    packed = told.select("doc_id", "toxic", "terms", "counts", F.xxhash64("doc_id").alias("place"))
-    for r in packed.mapInArrow(_pack, "doc_id long, toxic int, place long, terms binary, counts binary").toLocalIterator():
+    placed = told.select("doc_id", "toxic", "terms", "counts", F.xxhash64("doc_id").alias("place"))
+    for r in placed.mapInArrow(_pack, "doc_id long, toxic int, place long, terms binary, counts binary").toLocalIterator():
         terms = np.searchsorted(vocabulary, np.frombuffer(r.terms, dtype=np.int64)).astype(np.int32)
-        both = zlib.compress(np.diff(terms, prepend=np.int32(0)).tobytes() + bytes(r.counts), 1)
-        rows.append((r.place, r.doc_id, r.toxic, both))
+        rows.append((r.place, r.doc_id, r.toxic, packed(terms, bytes(r.counts))))
     rows = [r[1:] for r in sorted(rows)]
     total = sum(stands_for[toxic] for _, toxic, _ in rows)
     base = sum(stands_for[1] for _, toxic, _ in rows if toxic == 1) / total if total else 0.0
