@@ -212,6 +212,20 @@ def test_a_replay_at_once_equals_the_runs_in_order(spark, store, log_key):
     assert any(r["est_amount"] for r in log.collect()) and store.read("history", version).count() == 0
 
 
+def test_a_replay_at_once_never_deals_rows_out_by_snapshot(spark, store):
+    one = snapshot(spark, row("O1")).withColumn("snapshot_time", F.lit(FIRST).cast("timestamp_ntz"))
+    given = store.write("given", one, "all")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, -1)  # as for a table whose size Spark does not know to be small
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in replay.replay_at_once(given)]
+    finally:
+        spark.conf.set(limit, before)
+    assert not any("SortMergeJoin [snapshot_time" in plan for plan in plans)
+    assert all("BroadcastHashJoin [snapshot_time" in plan for plan in plans)
+
+
 def test_stream_of_export_files(spark, store, tmp_path):
     folder = tmp_path / "exports"
     folder.mkdir()
