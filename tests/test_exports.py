@@ -4,9 +4,10 @@ import re
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
-from snapfold import schema
+from snapfold import bindings, schema
 from snapfold.config import Config
 from snapfold.sources import exports
 from snapfold.sources.records import read_records
@@ -210,3 +211,23 @@ def test_the_gate_names_unreadable_files(spark, tmp_path):
         exports.require_readable(exports.check_files(spark, str(tmp_path)))
     with pytest.raises(ValueError, match="no export with any content"):
         exports.require_readable(exports.check_files(spark, str(tmp_path / "empty.csv")))
+
+
+def test_wide_text_is_made_after_rows_are_dealt_out(spark, tmp_path):
+    spark.createDataFrame([(1, "S1", 0, 0.0)], bindings._LAYOUTS["supplier"]).write.parquet(str(tmp_path / "supplier.parquet"))
+    item = (1, 1, 1, 1, 2.0, 3.0, 0.0, 0.0, "R", "F", datetime(2001, 1, 1))
+    spark.createDataFrame([item], bindings._LAYOUTS["lineitem"]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    lines = bindings.text_lines(spark, str(tmp_path))
+    above, below = lines._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(file", 1)
+    assert "Extra 54" in above and "Extra" not in below
+    wide = ",".join(f'"Extra {k}"' for k in range(55))
+    *_, last, footer = [r.value for r in lines.collect()]
+    assert last == f'"S1","1","2.0","R",{wide},"a ""note"",\n109"' and footer == '" Total ",""'
+
+
+@pytest.mark.parametrize("record, cells", [
+    ('"a","b ""c""",d', ["a", 'b "c"', "d"]), ('"",""""', ["", '"']), ('"', [""]), ('"a"x,"', ['a"x', ""]),
+    ('"a"\u2028,"a\u2028"', ["a\u2028", "a\u2028"]),
+])
+def test_quotes_around_cells(spark, record, cells):
+    assert spark.createDataFrame([(record,)], "r string").select(exports.split_cells(F.col("r"))).first()[0] == cells
