@@ -114,3 +114,20 @@ def test_change_against_the_row_before(spark):
     stored = log(spark, *[(i * i, 1) for i in range(130)])
     got = trend.snapshot_trend(stored).orderBy("date").collect()
     assert [r["sf_change"] for r in got] == [None] + [float(2 * i - 1) for i in range(1, 130)]
+
+
+def test_log_upsert_computes_the_new_row_once(spark):
+    rows_read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        rows_read.add(1)
+        return v
+
+    main = spark.range(10).select(F.lit(2.0).alias("est_qty"), F.lit(3.0).alias("sales_price"),
+                                  counted(F.col("id").cast("double")).alias("total_price"))
+    stored = log(spark, (1, 1), (2, 2))
+    new = trend.log_row(trend.tracking_totals(main), datetime(2025, 3, 1))
+    got = trend.log_upsert(stored, new).orderBy("seq").collect()
+    assert [(r["nb_opty"], r["sf_amount"], r["seq"]) for r in got][2:] == [(10, 45.0, 3)]
+    assert rows_read.value == 10
