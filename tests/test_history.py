@@ -95,3 +95,14 @@ def test_semi(spark):
     pipe = spark.createDataFrame([("K",), ("K",)], "key string")
     assert [r[0] for r in rows(history.history_semi(a, pipe))] == ["K"]
     assert rows(history.history_semi(a, pipe.limit(0))) == rows(a)
+
+
+def test_migrate_packs_a_wide_row_before_rows_of_a_key_meet(spark):
+    blank = [None] * 52
+    layout = "opty string, model string, seq int, " + ", ".join(f"W{i:02d} string" for i in range(1, 54))
+    wide = spark.createDataFrame([("O", "M", 2, "late", *blank), ("O", "M", 1, *blank, "first"), ("B", None, 1, " ", *blank),
+                                  ("N", "", None, "x", *blank)], layout)
+    got = history.history_migrate(wide)
+    assert rows(got) == [("OM", "O", "M", 53, "first")]
+    exchanged = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in line]
+    assert exchanged and "W53" not in " ".join(exchanged)
