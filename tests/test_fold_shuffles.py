@@ -83,3 +83,38 @@ def test_stored_tables_are_packed(spark, tmp_path):
     store.write_bucketed("b", spark.range(3), "1", "id")
     assert list(tmp_path.glob("a/*/*.zstd.parquet")) and list(tmp_path.glob("b/*/*.zstd.parquet"))
     assert not list(tmp_path.glob("*/*/*.snappy*"))
+
+
+def test_cells_are_met_in_order_and_do_not_hold_it(spark):
+    """Rows of a key are sorted once; only ``also`` compares their order."""
+    archive, master = _tables(spark)
+    folded = history.fold_notes(archive, master, *_picks(), hot=hot_hashes(master, ["key"]))
+    assert re.search(r"Sort \[key#\d+ ASC NULLS FIRST, seq#\d+L ASC NULLS FIRST\]", _plan(folded))
+
+
+def test_rows_in_any_order_with_blanks_and_without_order(spark):
+    layout = "opty string, model string, key string, seq long, `Week 20` string, `Week 21` string, est_qty string, qty double"
+    given = [("a", "M", "aM", 3, " \t", "c", "3", 3.0), ("a", "M", "aM", 1, "x", None, "1", 1.0), ("a", "M", "aM", 2, "y", "b", None, 2.0),
+             ("a", "M", "aM", None, "never", "never", "9", 9.0), ("b", "M", "bM", None, "never", "", "9", 9.0),
+             ("", "", "", 5, "own", "", "5", 5.0), (None, None, None, 6, "own", "", "6", 6.0)]
+    given += [("h", "M", "hM", k, f"h{k}" if k < 40 else "", None, str(k), float(k)) for k in range(10, 60)]
+    master = spark.createDataFrame(given, layout).repartition(5)
+    archive = spark.createDataFrame([("aM", "a", "M", 20, "y"), ("aM", "a", "M", 30, "old"), ("hM", "", "M", 21, "kept"),
+                                     ("only", "o", "", 20, "z"),
+                                     ("only", "o", "", None, "-"), ("bM", "b", "", None, "-")], "key string, opty string, model string, week int, value string")
+    hot = hot_hashes(master, ["key"])
+    assert len(hot.first()["hot"]) >= 1
+    with_hot = _sorted_notes(history.fold_notes(archive, master, *_picks(), hot=hot))
+    assert with_hot == _sorted_notes(history.fold_notes(archive, master, *_picks()))
+    of = {r[0]: r for r in with_hot}
+    notes = lambda k: [tuple(n) for n in of[k][3]]
+    assert notes("aM") == [(20, "y"), (21, "c"), (30, "old")] and [tuple(n) for n in of["aM"][4]] == [(21, "c")]
+    assert notes("hM") == [(20, "h39"), (21, "kept")] and of["hM"][1:3] == ("h", "M")
+    assert notes("bM") == [] and of["bM"][5] is None and notes("") == [] and notes("only") == [(20, "z")]
+    assert tuple(of["aM"][5]) == ("3", " \t") and tuple(of["aM"][6]) == (1.0,)
+
+
+def test_lists_of_notes_are_gone_through_only_where_a_week_stands_in_both(spark):
+    archive, master = _tables(spark)
+    text = history.fold_notes(archive, master)._jdf.queryExecution().optimizedPlan().toString()
+    assert "arrays_overlap" in text
