@@ -2,6 +2,7 @@ import os
 import random
 import re
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,22 @@ def test_wide_text_is_made_after_rows_are_dealt_out(spark, tmp_path):
 ])
 def test_quotes_around_cells(spark, record, cells):
     assert spark.createDataFrame([(record,)], "r string").select(exports.split_cells(F.col("r"))).first()[0] == cells
+
+
+def _order_tables(spark, folder, items):
+    """Tables of one line item per entry of ``items``, each the number of its supplier."""
+    suppliers = [(n, f"S{n}", 0, 0.0) for n in sorted(set(items))]
+    spark.createDataFrame(suppliers, bindings._LAYOUTS["supplier"]).write.parquet(f"{folder}/supplier.parquet")
+    # order, part, supplier, line, quantity, price, discount, tax, flag, status, shipped
+    lines = [(k, 1, n, 1, 2.0, 3.0, 0.0, 0.0, "R", "F", datetime(2001, 1, 1)) for k, n in enumerate(items)]
+    spark.createDataFrame(lines, bindings._LAYOUTS["lineitem"]).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_text_exports_are_packed(spark, tmp_path):
+    _order_tables(spark, tmp_path, [1] * 500 + [2] * 3)
+    plain = bindings.text_exports(spark, str(tmp_path), str(tmp_path / "plain"), "none")
+    packed = bindings.text_exports(spark, str(tmp_path), str(tmp_path / "packed"))
+    size = lambda folder: sum(p.stat().st_size for p in Path(folder).rglob("part-*"))
+    assert size(packed) < size(plain) / 5
+    text = lambda folder: rows(read_records(spark, folder).select(F.regexp_extract("file", "file=([^/]+)", 1), "line_no", "record"))
+    assert text(packed) == text(plain) and len(text(packed)) == 510
