@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from conftest import rows
 from snapfold import bindings, schema
 from snapfold.config import Config
+from snapfold.queries import source_queries
 from snapfold.sources import exports
-from snapfold.sources.records import read_records
+from snapfold.sources.records import physical_lines, read_records
 
 ENGLISH = ["Opportunity Owner", "Created Date", "Close Date", "Stage", "Opportunity Number", "Indirect Account",
            "End Customer", "Estimated Total Price", "Sales Model Name", "Part Number", "Estimated Quantity",
@@ -251,3 +252,17 @@ def test_text_exports_are_packed(spark, tmp_path):
     assert size(packed) < size(plain) / 5
     text = lambda folder: rows(read_records(spark, folder).select(F.regexp_extract("file", "file=([^/]+)", 1), "line_no", "record"))
     assert text(packed) == text(plain) and len(text(packed)) == 510
+
+
+def test_splits_share_tasks(spark, tmp_path, monkeypatch):
+    _order_tables(spark, tmp_path, [1] * 200 + list(range(2, 42)))
+    whole = rows(source_queries.load_text_exports(spark, str(tmp_path)))
+    assert rows(source_queries.load_split_exports(spark, str(tmp_path))) == whole and len(whole) == 240
+
+    def read(spark, folder):
+        lines = physical_lines(spark, folder)
+        return lines.rdd.getNumPartitions(), lines.select("file", "split").distinct().count()
+
+    monkeypatch.setattr(source_queries, "_text_rows", read)
+    tasks, splits = source_queries.load_split_exports(spark, str(tmp_path))
+    assert splits > 41 and tasks <= spark.sparkContext.defaultParallelism + 2
