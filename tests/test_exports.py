@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from snapfold import bindings, schema
 from snapfold.config import Config
+from snapfold.functions.scalars import HALF_DAY_FORMATS, ISO_FORMATS, parse_dates
 from snapfold.queries import source_queries
 from snapfold.sources import exports
 from snapfold.sources.records import physical_lines, read_records
@@ -266,3 +267,16 @@ def test_splits_share_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(source_queries, "_text_rows", read)
     tasks, splits = source_queries.load_split_exports(spark, str(tmp_path))
     assert splits > 41 and tasks <= spark.sparkContext.defaultParallelism + 2
+
+
+def test_a_date_is_read_once_and_only_by_layouts_that_may_fit(spark, tmp_path):
+    write(tmp_path, "a.csv")
+    told = exports.classified(exports.rows_below_header(read_records(spark, str(tmp_path))))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    layouts = {*ISO_FORMATS, *Config().date_formats, *HALF_DAY_FORMATS}
+    assert plan.count("gettimestamp") <= 2 * len(layouts)
+    assert plan.count("Contains") + plan.count("contains") > 0
+    parsed = [("2001-02-03", 3), ("2001-02-03T04:05", 3), ("2/3/2001 4:05:06", 3), ("3 Feb 2001", 3), ("Feb 3, 2001", 3),
+              ("2/3/2001 4:05 PM", 3), ("2-3-2001", None), ("2/3", None), ("soon, or 3 Feb", None)]
+    got = spark.createDataFrame(parsed, "t string, d int").select(F.day(parse_dates("t", Config().date_formats)), "d")
+    assert all(a == b for a, b in got.collect())
